@@ -99,7 +99,7 @@ def nearest_titles(
     marked: DataFrame,
     back: int = fixed.LINES_BACK,
     forward: int = fixed.LINES_FORWARD,
-    tile: int = WINDOW_TILE,
+    tile: int | None = None,
 ) -> DataFrame:
     """For each keyword line the title at or above it and the title that ends the act.
 
@@ -108,6 +108,7 @@ def nearest_titles(
     file is cut into tiles of lines, each with the titles just outside its edges:
     a file of any length is spread over many tasks.
     """
+    tile = tile or WINDOW_TILE
     line_no = F.col("line_no")
     is_title = F.col("title").isNotNull()
     own = F.floor(line_no / tile)

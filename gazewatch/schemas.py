@@ -8,6 +8,7 @@ _TYPES = {
     "BIGINT": T.LongType(),
     "DATE": T.DateType(),
     "TIMESTAMP": T.TimestampType(),
+    "BINARY": T.BinaryType(),
     "ARRAY<STRING>": T.ArrayType(T.StringType()),
 }
 
@@ -29,6 +30,9 @@ ENTRY_INDEX = _schema(
 ENTRIES = _schema(
     "file_name STRING, secao STRING, edition_date DATE, entry_no BIGINT, xml STRING, err STRING"
 )
+BINARY_FILES = _schema(
+    "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+)
 PAGES = _schema(
     "file_name STRING, secao STRING, edition_date DATE, page_no BIGINT, text STRING"
 )

@@ -72,17 +72,20 @@ def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _table([(*head, None, None, _error(problem))], schemas.ENTRIES)
 
 
-def archive_entries(files: DataFrame) -> DataFrame:
+def archive_entries(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per XML member of each archive; a file that cannot be read gives an ``err`` row.
 
-    Members stay in groups of neighbours that share one opening of the file.
+    Members stay in groups of neighbours that share one opening of the file. The
+    number of tasks is given outright: names are tiny and would be merged into one
+    partition by their size, but the work behind each is large.
     """
+    tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     archives = files.where(F.endswith(F.col("file_name"), F.lit(".zip"))).select(
         "file_name", "secao", "edition_date", "path"
     )
-    index = archives.repartition("path").mapInPandas(_list_members, schemas.ENTRY_INDEX)
+    index = archives.repartition(tasks, "path").mapInPandas(_list_members, schemas.ENTRY_INDEX)
     group = F.floor(F.col("entry_no") / MEMBERS_PER_GROUP)
-    spread = index.repartition("path", group).sortWithinPartitions("path", "entry_no")
+    spread = index.repartition(tasks, "path", group).sortWithinPartitions("path", "entry_no")
     readable = spread.where("err IS NULL").mapInPandas(_read_members, schemas.ENTRIES)
     broken = index.where("err IS NOT NULL").select(
         "file_name", "secao", "edition_date", "entry_no", F.lit(None).cast("string"), "err"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gazewatch import schemas
 from gazewatch.operators import select
 from gazewatch.plans.runs import Settings, finish, process
 from gazewatch.sinks.tables import Tables
@@ -23,6 +24,7 @@ def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 10_0
     """
     arrived = (
         spark.readStream.format("binaryFile")
+        .schema(schemas.BINARY_FILES)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .option("maxFileAge", "3650d")
