@@ -21,8 +21,6 @@ RULES = (
     FilterRule("Atos-Secao2", "DO2", "Agência Nacional", ("SUFER", "deliberação")),
 )
 
-FILE = ("file_name", "secao", "edition_date")
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -52,9 +50,8 @@ def _acts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _file_columns() -> list[Column]:
-    dashed, scored = (
-        F.date_format("edition_date", pattern) for pattern in ("yyyy-MM-dd", "yyyy_MM_dd")
-    )
+    dashed = F.col("edition_date").cast("string")
+    scored = F.replace(dashed, F.lit("-"), F.lit("_"))
     sec, v = F.col("sec"), F.col("v")
     name = (
         F.when(v == "zip", F.concat(dashed, F.lit("-DO"), sec, F.lit(".zip")))
@@ -69,9 +66,17 @@ def _file_columns() -> list[Column]:
     ]
 
 
+# What names a file, as short values: names are put together once per file, not per order.
+EDITION = ("edition_date", "sec", "v")
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """The edition files of the gazette."""
-    return _acts(spark, folder).select(*_file_columns()).distinct()
+    """The edition files of the gazette: at most four kinds per day and section.
+
+    Names are put together after the orders are reduced, and filters on names stay there.
+    """
+    kinds = _acts(spark, folder).groupBy("edition_date", "sec").agg(F.collect_set("v").alias("kinds"))
+    return kinds.withColumn("v", F.explode("kinds")).select(*_file_columns())
 
 
 def _title() -> Column:
@@ -92,18 +97,17 @@ def _title() -> Column:
         (F.pmod(k, F.lit(5)) + 1).cast("int"),
     )
     month = F.element_at(F.split(F.lit(MONTHS), ","), F.col("m"))
-    title = F.concat(
+    return F.concat(
         head,
         F.lit(" Nº "),
         (F.pmod(k, F.lit(9)) + 1).cast("string"),
         F.lit(", DE "),
-        F.date_format("edition_date", "dd"),
+        F.substring(F.col("edition_date").cast("string"), 9, 2),
         F.lit(" DE "),
         month,
         F.lit(" DE "),
-        F.date_format("edition_date", "yyyy"),
+        F.substring(F.col("edition_date").cast("string"), 1, 4),
     )
-    return F.when(F.pmod(k, F.lit(3)) == 0, title)
 
 
 def _body() -> Column:
@@ -130,14 +134,15 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     third of all orders is numbered by many tasks.
     """
     acts = _acts(spark, folder)
-    cut = acts.select(
-        *_file_columns(),
-        F.floor(F.col("k") / ORDER_TILE).alias("tile"),
-        "k",
-        F.posexplode(F.array_compact(F.array(_title(), _body()))).alias("at", "line"),
+    titled = F.pmod(F.col("k"), F.lit(3)) == 0
+    first = F.when(titled, 0).otherwise(1)
+    cut = acts.withColumn("tile", F.floor(F.col("k") / ORDER_TILE)).withColumn(
+        "at", F.explode(F.sequence(first, F.lit(1)))
     )
-    numbered = ordered_rank(cut, FILE, ["tile"], ["k", "at"], "line_no", "n_lines")
-    return numbered.select(*FILE, "n_lines", "line_no", "line")
+    # Lines are numbered as short rows; the text is written afterwards.
+    numbered = ordered_rank(cut, EDITION, ["tile"], ["k", "at"], "line_no", "n_lines")
+    line = F.when(F.col("at") == 0, _title()).otherwise(_body())
+    return numbered.select(*_file_columns(), "n_lines", "line_no", line.alias("line"))
 
 
 def staged_lines(spark: SparkSession, folder: str) -> DataFrame:

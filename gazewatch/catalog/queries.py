@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazewatch.catalog import gazette
-from gazewatch.catalog.gazette import FILE, table
+from gazewatch.catalog.gazette import table
 from gazewatch.functions import dates as D
 from gazewatch.functions import sizing
 from gazewatch.functions import text as X
+from gazewatch.functions.rows import where_present
 from gazewatch.functions.sizing import stage
 from gazewatch.operators import acts as A
 from gazewatch.operators import digest as G
@@ -136,13 +137,13 @@ def asof_title_next(spark, folder):
 
 @query
 def extract_title(spark, folder):
-    titled = A.with_titles(gazette.lines(spark, folder)).where("title IS NOT NULL")
+    titled = A.titled_lines(gazette.lines(spark, folder))
     return titled.select("file_name", "line_no", "title")
 
 
 @query
 def title_date(spark, folder):
-    titled = A.with_titles(gazette.lines(spark, folder)).where("title IS NOT NULL")
+    titled = A.titled_lines(gazette.lines(spark, folder))
     found = X.title_date(F.col("title")).alias("publication_date")
     return titled.select("file_name", "line_no", "title", found)
 
@@ -155,7 +156,8 @@ def keyword_line_hits(spark, folder):
 
 @query
 def org_gate(spark, folder):
-    return A.organisation_gate(gazette.lines(spark, folder), _rules(spark))
+    gate = A.organisation_gate(gazette.lines(spark, folder), _rules(spark))
+    return gate.select("file_name", "filter_ord")
 
 
 @query
@@ -228,10 +230,9 @@ def doc_lines(spark, folder):
 
 @query
 def strip_markup(spark, folder):
-    cleaned = table(spark, folder, "pages").select(
-        "page_id", X.strip_markup(F.col("html")).alias("text")
-    )
-    return cleaned.where(~X.is_blank(F.col("text")))
+    web = table(spark, folder, "pages").select("page_id", "html")
+    text = F.nullif(X.strip_markup(F.col("html")), F.lit(""))
+    return where_present(web, "text", text).drop("html")
 
 
 def _page_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,8 +16,15 @@ SECTION_SALTS = 512
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Counting stops one row past the limit, so this never reads a large table."""
-    return df.limit(rows + 1).count() <= rows
+    """Reading stops one row past the limit, so this never touches a large table."""
+    return len(df.select(df.columns[0]).limit(rows + 1).collect()) <= rows
+
+
+def has_few_keywords(rules: DataFrame, rows: int | None = None) -> bool:
+    """Whether rules stay within the broadcast limit with one row per keyword."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    sizes = rules.select(F.size("keywords").alias("n")).limit(rows + 1).collect()
+    return len(sizes) <= rows and sum(s.n for s in sizes) <= rows
 
 
 def join_rules(
@@ -25,18 +32,19 @@ def join_rules(
     rules: DataFrame,
     condition: Column,
     how: str,
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SECTION_SALTS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join on ``secao`` and a further condition between columns of both sides.
 
-    A rule table is normally a few rows and is broadcast once its size is known.
-    A larger one is shuffled. There are only a handful of sections, so the left
-    rows are spread by a salt taken from their own content, and every rule is
-    repeated once per salt; each pair still meets exactly once.
+    A rule table is normally a few rows and is broadcast once its size is known;
+    ``small`` says so if it was found out before. A larger one is shuffled. There
+    are only a handful of sections, so the left rows are spread by a salt taken from
+    their own content, and every rule is repeated once per salt; each pair still
+    meets exactly once.
     """
+    salts = SECTION_SALTS
     right = rules.withColumnRenamed("secao", "_secao")
-    if has_at_most(rules, broadcast_rows):
+    if has_at_most(rules, BROADCAST_ROWS) if small is None else small:
         on = (left["secao"] == right["_secao"]) & condition
         return left.join(F.broadcast(right), on, how).drop("_secao")
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))

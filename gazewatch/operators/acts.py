@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from gazewatch import fixed
 from gazewatch.functions import sizing
 from gazewatch.functions import text as X
+from gazewatch.functions.rows import where_present
 from gazewatch.sources import rules as R
 
 # Lines per window partition. Large against the lines copied at each edge.
 WINDOW_TILE = 8192
 # Lines per piece when act texts are put together.
-TEXT_TILE = 256
+TEXT_TILE = 64
 
 FILE = ("file_name", "secao", "edition_date")
 
@@ -31,42 +32,61 @@ def folded(lines: DataFrame) -> DataFrame:
 
 
 def with_titles(lines: DataFrame, patterns: Sequence[str] = fixed.TITLE_PATTERNS) -> DataFrame:
-    """Add ``title``, null where there is none. The first line of a file is never a title.
+    """Add ``title``, null where there is none. The first line of a file is never a title."""
+    tried, title = _tried(lines, patterns)
+    return tried.select(*lines.columns, title.alias("title"))
 
-    The first pattern that matches wins. Each pattern gives a column of its own,
-    evaluated once, and only on lines with the stem of that pattern.
+
+def titled_lines(
+    lines: DataFrame, patterns: Sequence[str] = fixed.TITLE_PATTERNS
+) -> DataFrame:
+    """Only the lines with a title."""
+    tried, title = _tried(lines, patterns)
+    return where_present(tried, "title", title).select(*lines.columns, "title")
+
+
+def _tried(lines: DataFrame, patterns: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Lines with a column for each title pattern, and the title as an expression of those.
+
+    The first pattern that matches wins. A pattern is evaluated once, and only on
+    lines with its stem.
     """
-    if "_folded" not in lines.columns:
-        return with_titles(folded(lines), patterns).drop("_folded")
     stems = fixed.TITLE_STEMS if tuple(patterns) == fixed.TITLE_PATTERNS else None
     tries = X.title_tries(F.col("_stripped"), F.col("_folded"), patterns, stems)
     names = [f"_title_{i}" for i in range(len(tries))]
-    return (
-        lines.withColumn("_stripped", X.strip(F.col("line")))
-        .select(*lines.columns, *[t.alias(n) for t, n in zip(tries, names)])
-        .select(
-            *lines.columns,
-            F.when(F.col("line_no") >= 1, X.first_title([F.col(n) for n in names])).alias("title"),
-        )
+    shared = lines if "_folded" in lines.columns else folded(lines)
+    tried = shared.withColumn("_stripped", X.strip(F.col("line"))).select(
+        *lines.columns, *[t.alias(n) for t, n in zip(tries, names)]
     )
+    return tried, F.when(F.col("line_no") >= 1, X.first_title([F.col(n) for n in names]))
+
+
+GATE = ("file_name", "filter_ord", "n_lines")
 
 
 def organisation_gate(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(file_name, filter_ord)`` for files that name the rule's organisation anywhere.
+    """Files that name the rule's organisation anywhere, with their length.
 
     Found per line and reduced before the shuffle, so file size does not matter.
     """
     orgs = rules.select("filter_ord", "secao", X.fold(F.col("orgao")).alias("_org"))
-    texts = lines.select("file_name", "secao", X.fold(F.col("line")).alias("_folded"))
+    texts = lines.select("file_name", "secao", "n_lines", X.fold(F.col("line")).alias("_folded"))
     hit = F.contains(F.col("_folded"), F.col("_org"))
-    return (
-        sizing.join_rules(texts, orgs, hit, "inner").select("file_name", "filter_ord").distinct()
-    )
+    return sizing.join_rules(texts, orgs, hit, "inner").select(*GATE).distinct()
 
 
-def document_gate(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """The organisation gate for documents that hold their whole text in one row."""
-    return organisation_gate(docs.withColumnRenamed("text", "line"), rules)
+def admitted(hits: DataFrame, gate: DataFrame) -> DataFrame:
+    """Hits of the rules and files in the gate.
+
+    The gate is repeated per tile of a file and the join is on tiles too, so that
+    the hits of one long file, and all that is grouped after them, stay spread.
+    """
+    tiles = F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("n_lines") - 1) / WINDOW_TILE)
+    )
+    spread_gate = gate.select("file_name", "filter_ord", F.explode(tiles).alias("_tile"))
+    tiled = hits.withColumn("_tile", F.floor(F.col("line_no") / WINDOW_TILE))
+    return tiled.join(spread_gate, ["file_name", "filter_ord", "_tile"], "left_semi").drop("_tile")
 
 
 def keyword_lines(lines: DataFrame, rules: DataFrame, how: str = "inner") -> DataFrame:
@@ -81,7 +101,8 @@ def keyword_lines(lines: DataFrame, rules: DataFrame, how: str = "inner") -> Dat
     )
     texts = lines if "_folded" in lines.columns else folded(lines)
     hit = F.contains(F.col("_folded"), F.col("_needle"))
-    return sizing.join_rules(texts, needles, hit, how).drop("_folded", "_needle")
+    small = sizing.has_few_keywords(rules)
+    return sizing.join_rules(texts, needles, hit, how, small).drop("_folded", "_needle")
 
 
 def marked_lines(

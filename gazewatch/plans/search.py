@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gazewatch import fixed
 from gazewatch.functions import sizing
 from gazewatch.functions import text as X
+from gazewatch.functions.sizing import stage
 from gazewatch.operators import acts as A
 from gazewatch.sources.documents import document_lines
 
@@ -29,11 +30,10 @@ def gated_hits(
     short as the list of files and only ever meets hits.
     """
     gate = A.organisation_gate(lines, rules) if gate is None else gate
+    if allowed is not None:
+        gate = gate.join(allowed, ["file_name", "filter_ord"], "left_semi")
     hits = A.nearest_titles(A.marked_lines(lines, rules, patterns), back, forward)
-    for admitted in (gate, allowed):
-        if admitted is not None:
-            hits = hits.join(admitted, ["file_name", "filter_ord"], "left_semi")
-    return A.act_bounds(hits)
+    return A.act_bounds(A.admitted(hits, gate))
 
 
 def find_matches(
@@ -59,10 +59,11 @@ def find_matches(
 def find_matches_in_documents(docs: DataFrame, rules: DataFrame, **options) -> DataFrame:
     """The same for documents that hold their text in one row.
 
-    Documents that cannot match are dropped before they are cut into lines.
+    The documents are read once. Those that cannot match are dropped before they are
+    cut into lines, and the lines of the others are staged.
     """
-    gate = A.document_gate(docs, rules)
-    return find_matches(document_lines(may_match(docs, rules)), rules, gate=gate, **options)
+    lines = stage(document_lines(may_match(docs, rules)), "lines")
+    return find_matches(lines, rules, **options)
 
 
 def may_match(docs: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazewatch.functions import text as X
+from gazewatch.functions.rows import where_present
 from gazewatch.operators.numbering import ordered_rank
 from gazewatch.sources.documents import split_lines
 
@@ -15,7 +16,7 @@ PAGE_TILE = 1024
 
 def filled_pages(pages: DataFrame) -> DataFrame:
     """Stripped pages, blank ones dropped."""
-    return pages.withColumn("text", X.strip(F.col("text"))).where("text <> ''")
+    return where_present(pages, "text", F.nullif(X.strip(F.col("text")), F.lit("")))
 
 
 def assembled_text(

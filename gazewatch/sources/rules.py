@@ -48,9 +48,12 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked(rules: DataFrame) -> DataFrame:
-    """Fail on a keyword that is blank or spans lines: neither can name an act."""
-    bad = F.exists("keywords", lambda k: X.is_blank(k) | F.contains(k, F.lit("\n")))
-    message = F.concat(F.lit("blank or multi-line keyword in rule "), F.col("nome"))
+    """Fail on a keyword that is blank, and on any needle that spans lines: text is searched by line."""
+    line_break = F.lit("\n")
+    bad = F.contains(F.col("orgao"), line_break) | F.exists(
+        "keywords", lambda k: X.is_blank(k) | F.contains(k, line_break)
+    )
+    message = F.concat(F.lit("blank or multi-line needle in rule "), F.col("nome"))
     return rules.withColumn(
         "keywords", F.when(bad, F.raise_error(message)).otherwise(F.col("keywords"))
     )

@@ -103,7 +103,8 @@ def test_tiles_make_no_difference(spark, monkeypatch, tile):
 
 
 def test_large_rule_tables_take_the_salted_join(spark, monkeypatch):
-    monkeypatch.setattr(sizing.join_rules, "__defaults__", (1, 4))
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(sizing, "SECTION_SALTS", 4)
     docs = corpus(4, sizes=(3, 40))
     frame = search.find_matches_in_documents(documents_frame(spark, docs), rules_frame(spark, RULES))
     assert found(frame) == expected(docs)
@@ -179,8 +180,10 @@ def test_fallback_title_is_200_characters_on_one_line(spark):
 
 def test_blank_keyword_is_refused(spark):
     for keyword in ("", " ", "a\nb"):
-        with pytest.raises(Exception, match="blank or multi-line"):
+        with pytest.raises(Exception, match="multi-line needle"):
             rules_frame(spark, [FilterRule("r", "DO1", "", (keyword,))]).collect()
+    with pytest.raises(Exception, match="multi-line needle"):
+        rules_frame(spark, [FilterRule("r", "DO1", "a\nb", ("c",))]).collect()
 
 
 def test_allowed_restricts_who_sees_what(spark):
