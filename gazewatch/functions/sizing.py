@@ -9,22 +9,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A rule table up to this many rows is copied to every executor.
+# A rule table up to this many rows and bytes is copied to every executor.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 8 << 20
 # Beyond that, each section is spread over this many partitions.
 SECTION_SALTS = 512
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Reading stops one row past the limit, so this never touches a large table."""
-    return len(df.select(df.columns[0]).limit(rows + 1).collect()) <= rows
+def fits_broadcast(rules: DataFrame, copies: Column | None = None) -> bool:
+    """Whether a table is within the broadcast limits, in rows and in bytes.
 
-
-def has_few_keywords(rules: DataFrame, rows: int | None = None) -> bool:
-    """Whether rules stay within the broadcast limit with one row per keyword."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    sizes = rules.select(F.size("keywords").alias("n")).limit(rows + 1).collect()
-    return len(sizes) <= rows and sum(s.n for s in sizes) <= rows
+    ``copies`` tells how many rows each row stands for. Only sizes are fetched, and
+    reading stops one row past the limit, so this never touches a large table.
+    """
+    copies = F.lit(1) if copies is None else copies
+    n_bytes = F.octet_length(F.to_json(F.struct("*")))
+    sizes = rules.select(copies.alias("rows"), n_bytes.alias("bytes"))
+    sizes = sizes.limit(BROADCAST_ROWS + 1).collect()
+    return (
+        sum(s.rows for s in sizes) <= BROADCAST_ROWS
+        and sum(s.rows * s.bytes for s in sizes) <= BROADCAST_BYTES
+    )
 
 
 def join_rules(
@@ -44,7 +49,7 @@ def join_rules(
     """
     salts = SECTION_SALTS
     right = rules.withColumnRenamed("secao", "_secao")
-    if has_at_most(rules, BROADCAST_ROWS) if small is None else small:
+    if fits_broadcast(rules) if small is None else small:
         on = (left["secao"] == right["_secao"]) & condition
         return left.join(F.broadcast(right), on, how).drop("_secao")
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))

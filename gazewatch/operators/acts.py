@@ -101,7 +101,7 @@ def keyword_lines(lines: DataFrame, rules: DataFrame, how: str = "inner") -> Dat
     )
     texts = lines if "_folded" in lines.columns else folded(lines)
     hit = F.contains(F.col("_folded"), F.col("_needle"))
-    small = sizing.has_few_keywords(rules)
+    small = sizing.fits_broadcast(rules, F.size("keywords"))
     return sizing.join_rules(texts, needles, hit, how, small).drop("_folded", "_needle")
 
 

@@ -154,7 +154,7 @@ def failures(files: DataFrame, pages: DataFrame) -> DataFrame:
     """Files that could not be read, with the reason; they stay out of the ledger."""
     broken = pages.where("err IS NOT NULL").groupBy("file_name").agg(F.min("err").alias("err"))
     signed = select.with_kind(files).where("kind = 'pdf'")
-    without = signed.join(pages.select("file_name"), "file_name", "left_anti")
+    without = signed.join(pages.select("file_name").distinct(), "file_name", "left_anti")
     missing = without.select("file_name", F.lit("no page text").alias("err"))
     reasons = broken.unionByName(missing)
     return files.select("file_name", "edition_date").join(reasons, "file_name")

@@ -52,11 +52,17 @@ class Tables:
             self.read(name).createOrReplaceTempView(name)
 
     def _replace(self, name: str, rows: DataFrame, run_id: str) -> DataFrame:
+        """Write the partitions of a run.
+
+        Rows are gathered by partition first, or every task would write a small file
+        into every day; the rebalance splits days that are too large for one task.
+        """
         schema, parts = LAYOUT[name]
         stamped = rows.withColumn("run_id", F.lit(run_id))
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
         (
             stamped.select(*columns)
+            .hint("rebalance", *parts[1:])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts)

@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from gazewatch.functions import sizing
@@ -193,3 +194,39 @@ def test_allowed_restricts_who_sees_what(spark):
     got = found(search.find_matches(lines, rules_frame(spark, RULES), allowed=allowed))
     pairs = {("f0", "um"), ("f1", "dois"), ("f2", "tres")}
     assert got == [m for m in expected(docs) if (m[0], m[1]) in pairs]
+
+
+def test_one_long_file_is_spread_over_tasks(spark, monkeypatch):
+    """Windows, gate and text of a single file run in many partitions."""
+    monkeypatch.setattr(A, "WINDOW_TILE", 64)
+    monkeypatch.setattr(A, "TEXT_TILE", 64)
+    docs = [("f", "DO1", None, document(random.Random(7), 3000, 0.05))]
+    lines = search.document_lines(documents_frame(spark, docs))
+    rules = rules_frame(spark, RULES)
+    switches = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in switches}
+    try:
+        for key, value in zip(switches, ("false", "-1")):
+            spark.conf.set(key, value)
+        hits = search.gated_hits(lines, rules)
+        found_in = hits.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        everything = search.find_matches(lines, rules)
+        written_in = everything.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        got = found(everything)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    for counts in (found_in, written_in):
+        sizes = [r["count"] for r in counts]
+        assert len(sizes) >= 6 and max(sizes) < sum(sizes) / 2
+    assert got == expected(docs)
+
+
+def test_tables_beyond_the_limits_are_not_broadcast(spark, monkeypatch):
+    rules = rules_frame(spark, RULES)
+    assert sizing.fits_broadcast(rules)
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 3)
+    assert sizing.fits_broadcast(rules)
+    assert not sizing.fits_broadcast(rules, F.size("keywords"))
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 10)
+    assert not sizing.fits_broadcast(rules)
