@@ -460,10 +460,11 @@ def match_row_ids(spark, folder):
     )
 
 
-def _run(spark: SparkSession, folder: str, chosen: DataFrame) -> DataFrame:
-    lines = gazette.staged_lines(spark, folder)
-    mine = lines.join(chosen.select("file_name"), "file_name", "left_semi")
-    return search.find_matches(mine, _rules(spark), back=BACK, forward=FORWARD)
+def _search_files(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Matches in the chosen files. The choice meets the gate, never the text."""
+    rules = _rules(lines.sparkSession)
+    allowed = select.claims(chosen, rules)
+    return search.find_matches(lines, rules, back=BACK, forward=FORWARD, allowed=allowed)
 
 
 @query
@@ -471,9 +472,8 @@ def run_for_date(spark, folder):
     """The editions of three days, archives first, without those in the ledger."""
     window = select.in_window(gazette.files(spark, folder), TARGET, 2)
     chosen = select.new_files(select.prefer_archives(window), _ledger(spark, folder))
-    lines = select.in_window(gazette.staged_lines(spark, folder), TARGET, 2)
-    mine = lines.join(chosen.select("file_name"), "file_name", "left_semi")
-    return search.find_matches(mine, _rules(spark), back=BACK, forward=FORWARD)
+    lines = stage(select.in_window(gazette.lines(spark, folder), TARGET, 2), "gazette")
+    return _search_files(lines, chosen)
 
 
 @query
@@ -481,11 +481,13 @@ def run_summary(spark, folder):
     """A run for every edition day: files looked at, matches found, note."""
     chosen = select.prefer_archives(gazette.files(spark, folder))
     processed = chosen.withColumnRenamed("edition_date", "run_date")
-    found = _run(spark, folder, chosen).withColumnRenamed("edition_date", "run_date")
+    found = _search_files(gazette.staged_lines(spark, folder), chosen)
+    found = found.withColumnRenamed("edition_date", "run_date")
     return report.run_summary(processed, found, None, F.lit(False))
 
 
 @query
 def backfill_rollup(spark, folder):
     chosen = select.prefer_archives(gazette.files(spark, folder))
-    return report.per_day(_run(spark, folder, chosen), *RANGE)
+    found = _search_files(gazette.staged_lines(spark, folder), chosen)
+    return report.per_day(found, *RANGE)
