@@ -40,7 +40,7 @@ def day_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
 
 
 def is_heartbeat(moment: Column, hours: tuple[int, int] = fixed.HEARTBEAT_HOURS) -> Column:
-    """Monday to Friday within the given UTC hours (the session time zone must be UTC)."""
+    """Monday to Friday within the given hours of a time in UTC."""
     first, last = hours
     hour = F.hour(moment)
     return (F.weekday(moment) < 5) & (hour >= first) & (hour < last)

@@ -170,7 +170,8 @@ def finish(
     settings: Settings,
 ) -> None:
     """Digest and run row, from what was stored."""
-    stamp = F.lit(moment.astimezone(timezone.utc))
+    # Without a zone, so that the hour is the UTC hour in any session.
+    stamp = F.lit(f"{moment.astimezone(timezone.utc):%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz")
     n_matches = F.lit(outcome.matches)
     due = G.is_due(n_matches, stamp, settings.heartbeat_hours) & F.lit(settings.send_digest)
     summary = spark.range(1).select(
