@@ -41,3 +41,57 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
         AND stops / n_words >= 0.05 AND n_dup_lines / len(lines) <= 0.6 AS kept
 FROM judged
 """
+
+ORACLE["op1_difference_cover_dedup"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents
+), windows AS (
+    SELECT r, i, array_to_string(words[i : i + 34], ' ') AS w
+    FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM docs WHERE len(words) >= 35)
+), repeats AS (
+    SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1
+), gone AS (
+    SELECT r, list_sort(list(DISTINCT p)) AS places
+    FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM repeats) GROUP BY r
+), words AS (
+    SELECT r, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS w FROM docs
+), left_over AS (
+    SELECT r, string_agg(w, ' ' ORDER BY p) AS kept
+    FROM words ANTI JOIN (SELECT r, unnest(places) AS p FROM gone) USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (r) LEFT JOIN left_over USING (r)
+"""
+
+ORACLE["op9_suffix_array_dedup"] = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+    SELECT r, i, md5(substring(h, 2 * i + 1, 400)) AS s
+    FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM docs WHERE len(h) >= 400)
+), repeats AS (
+    SELECT r, i FROM strings QUALIFY count(*) OVER (PARTITION BY s) > 1
+), spans AS (
+    SELECT r, min(i) AS low, max(i) + 200 AS high
+    FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM (
+        SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new
+        FROM repeats))
+    GROUP BY r, span
+), ends AS (
+    SELECT r, low, high, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY low) AS begin FROM spans
+), parts AS (
+    SELECT r, begin AS place, substring(h, 2 * begin + 1, 2 * (low - begin)) AS part
+    FROM ends JOIN docs USING (r)
+    UNION ALL
+    SELECT r, tail, substring(h, 2 * tail + 1)
+    FROM docs JOIN (SELECT r, max(high) AS tail FROM spans GROUP BY r) USING (r)
+), left_over AS (
+    SELECT r, string_agg(part, '' ORDER BY place) AS kept FROM parts GROUP BY r
+), counts AS (
+    SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed FROM spans GROUP BY r
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN counts USING (r) LEFT JOIN left_over USING (r)
+"""
