@@ -62,3 +62,17 @@ class Memo(dict):
             unknown = list(words)
         if unknown:
             self.update(zip(unknown, self.compute(unknown), strict=True))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, read from the folder that the cluster shares; their lineage ends there.
+
+    The folder is the one in spark.checkpoint.dir. Only where a session names none, as in
+    tests, a folder under the warehouse is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(folder or f"{warehouse}/_checkpoints")
+    return df.checkpoint()

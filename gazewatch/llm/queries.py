@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazewatch.llm import bpe, packing, quality, suffix_dedup, unigram, window_dedup
+from gazewatch.llm import bpe, iblt, packing, quality, suffix_dedup, unigram, window_dedup
 from gazewatch.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,19 @@ def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.piece_counts(spark, table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@register
+def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 @register
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
