@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazewatch.llm import bpe, iblt, packing, quality, suffix_dedup, unigram, window_dedup
+from gazewatch.llm import bpe, iblt, near_dedup, packing, quality, suffix_dedup, unigram, window_dedup
 from gazewatch.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op2_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
