@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazewatch.llm import bpe, iblt, near_dedup, packing, quality, suffix_dedup, unigram, window_dedup
+from gazewatch.llm import bpe, iblt, language, licenses, near_dedup, packing, quality, suffix_dedup, unigram, window_dedup
 from gazewatch.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,25 @@ def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "declared", "language", "probability", "kept"
+    )
+
+
+@register
+def op4_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "declared", "suffix", "host", "language", "probability", "kept"
+    )
+
+
+@register
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
