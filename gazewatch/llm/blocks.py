@@ -21,8 +21,8 @@ from gazewatch.llm.common import partitions
 BLOCKS_PER_PARTITION = 4
 
 
-def in_blocks(docs: DataFrame, doc_id: str, text: str, digest: bool = False) -> DataFrame:
-    """block, doc_id, text and, if asked for, a digest of every row, dealt by block.
+def in_blocks(docs: DataFrame, doc_id: str, text: str, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """block, doc_id, text, a digest if asked for, and carried columns of every row, dealt by block.
 
     The block follows from the row alone, so a lost task finds the same rows again. All
     passes of an operator read this one exchange.
@@ -34,6 +34,7 @@ def in_blocks(docs: DataFrame, doc_id: str, text: str, digest: bool = False) ->
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
         *[key.alias("digest")] * digest,
+        *[F.col(c) for c in carry],
     ).repartition(n, "block")
 
 

@@ -95,21 +95,31 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> np.nd
 
 
 class Segments:
-    """The segments of one part of a text: [a, b + length) holds the strings from a to b."""
+    """The segments of some texts laid end to end: [a, b + length) holds the strings from a to b.
 
-    def __init__(self, data: np.ndarray, length: int, k: int):
-        hashes = Prefixes(data)
-        self.hashes, self.length = hashes, length
-        kgrams = hashes.every(k)
+    `limits` are the places where the texts begin, and the end. Strings of one segment have
+    their anchor at different offsets, so they all differ.
+    """
+
+    def __init__(self, data: np.ndarray, limits: np.ndarray, length: int, k: int):
+        self.hashes, self.length = Prefixes(data), length
+        kgrams = self.hashes.every(k)
         places = np.arange(len(kgrams), dtype=np.uint64)
         lows = _sliding_min((kgrams & HIGH) | places, length - k + 1)
         owner = (lows & LOW).astype(np.int64)
+        #: Strings that would run over the end of a text.
+        self.over = np.zeros(len(owner) + length, dtype=bool)
+        for i in range(len(limits) - 1):
+            self.over[max(limits[i], limits[i + 1] - length + 1) : limits[i + 1]] = True
+        self.over = self.over[: len(owner)]
+        owner[self.over] = -1
         edge = by_group(owner)
-        self.a, self.b = edge[:-1], edge[1:] - 1
+        kept = owner[edge[:-1]] >= 0
+        self.a, self.b = edge[:-1][kept], edge[1:][kept] - 1
         at = owner[self.a]
         self.anchor = kgrams[at]
         self.offset = (at - self.a).astype(np.uint64)
-        self.name = mixed(hashes.runs(self.a, self.b + length) ^ mixed(self.offset + np.uint64(1)))
+        self.name = mixed(self.hashes.runs(self.a, self.b + length) ^ mixed(self.offset + np.uint64(1)))
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -141,13 +151,29 @@ class Block:
             (np.iinfo(np.int64).max if ids[i] is None else int(ids[i]), digests[i]) for i in range(len(texts))
         ]
 
-    def parts(self) -> Iterator[tuple[int, int, np.ndarray, Segments]]:
-        """(document, offset, bytes, segments); a long text's parts overlap by length - 1."""
+    def parts(self) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray, Segments]]:
+        """[(document, offset), ...], where each begins and the end, bytes, segments.
+
+        Short texts share a part; a long text's parts overlap by length - 1 bytes.
+        """
+        held: list[tuple[int, int, int]] = []
+        size = 0
         for i in self.order:
-            text = np.frombuffer(self.texts[i], dtype=np.uint8)
-            for offset in range(0, len(text) - self.length + 1, PART):
-                data = text[offset : offset + PART + self.length - 1]
-                yield i, offset, data, Segments(data, self.length, self.k)
+            n = len(self.texts[i])
+            for offset in range(0, n - self.length + 1, PART):
+                piece = (i, offset, min(n, offset + PART + self.length - 1))
+                if held and size + piece[2] - offset > PART:
+                    yield self._part(held)
+                    held, size = [], 0
+                held.append(piece)
+                size += piece[2] - offset
+        if held:
+            yield self._part(held)
+
+    def _part(self, held: list[tuple[int, int, int]]):
+        data = np.frombuffer(b"".join([self.texts[i][a:b] for i, a, b in held]), dtype=np.uint8)
+        limits = np.concatenate(([0], np.cumsum([b - a for _, a, b in held])))
+        return [(i, a) for i, a, _ in held], limits, data, Segments(data, limits, self.length, self.k)
 
 
 def _first_of_each(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +189,7 @@ def remove_repeats(
     whole_chars: bool = False,
     doc_id: str = "doc_id",
     text: str = "text",
+    carry: tuple[str, ...] = (),
     k: int = K,
     hot_segments: int = HOT_SEGMENTS,
 ) -> DataFrame:
@@ -171,7 +198,7 @@ def remove_repeats(
     A byte goes if a string of `length` bytes covers it that also starts elsewhere, in
     another row or in the same one. With `keep_first`, only strings with an earlier match go
     (by ascending doc_id, then place; rows without doc_id last), so the first copy stays.
-    With `whole_chars`, a removed stretch shrinks to whole characters and `kept` is valid
+    Columns named in `carry` come along. With `whole_chars`, a removed stretch shrinks to whole characters and `kept` is valid
     UTF-8. Strings are those of the input. Null, empty and shorter texts lose nothing.
     doc_id is an integer or null; identical rows are places like any others.
 
@@ -182,7 +209,7 @@ def remove_repeats(
     many different segments for one sort sends its single strings as 96-bit hashes instead.
     """
     buckets = partitions(docs.sparkSession)
-    blocks = in_blocks(docs, doc_id, text, digest=True)
+    blocks = in_blocks(docs, doc_id, text, digest=True, carry=carry)
     id_type = docs.schema[doc_id].dataType.simpleString()
     sent, sent_arrow = _schema(bucket="int", block="int", keys="binary", counts="binary", twice="binary")
     reply, reply_arrow = _schema(block="int", keys="binary", hot="binary")
@@ -196,7 +223,7 @@ def remove_repeats(
     )
 
     def send_anchors(rows: pa.Table) -> pa.Table:
-        found = [(s.anchor, s.name) for _, _, _, s in Block(rows, length, k).parts()]
+        found = [(s.anchor, s.name) for *_, s in Block(rows, length, k).parts()]
         if not found:
             return table_of([], sent_arrow)
         anchors, names = [np.concatenate(x) for x in zip(*found, strict=True)]
@@ -234,22 +261,26 @@ def remove_repeats(
         kept: list[tuple] = []
         data: dict[int, bytes] = {}
         strings: list[tuple[np.ndarray, np.ndarray]] = []
-        for doc, offset, text_part, s in block.parts():
+        for pieces, limits, text_part, s in block.parts():
+            owners, offsets = np.array(pieces, dtype=np.int64).T
             chosen = np.flatnonzero(among(s.anchor, known))
             if len(hot):
                 warm = among(s.anchor[chosen], hot)
                 if warm.any():
                     starts = _starts(s.a[chosen[warm]], s.b[chosen[warm]])
-                    strings.append((*_strings(s, starts), np.full(len(starts), doc), starts + offset))
+                    of = np.searchsorted(limits, starts, "right") - 1
+                    strings.append((*_strings(s, starts), owners[of], starts - limits[of] + offsets[of]))
                     chosen = chosen[~warm]
             whole = text_part.tobytes()
-            for a, b, anchor, name in zip(
-                s.a[chosen].tolist(), s.b[chosen].tolist(), s.anchor[chosen].tolist(), s.name[chosen].tolist(),
+            of = np.searchsorted(limits, s.a[chosen], "right") - 1
+            at = s.a[chosen] - limits[of] + offsets[of]
+            for a, b, anchor, name, doc, place in zip(
+                *[x.tolist() for x in (s.a[chosen], s.b[chosen], s.anchor[chosen], s.name[chosen], owners[of], at)],
                 strict=True,
-            ):
+            ):
                 if name not in data:
                     data[name] = whole[a : b + length]
-                    kept.append((anchor, name, *block.keys[doc], offset + a, 0))
+                    kept.append((anchor, name, *block.keys[doc], place, 0))
                 else:
                     kept.append((anchor, name, 0, 0, 0, 1))
         out, number = [], rows.column("block")[0].as_py()
@@ -326,7 +357,21 @@ def remove_repeats(
         return table_of(answers, answer_arrow)
 
     def _factors_of(heads, anchor, doc, digest, place, begins, sizes, bytes_of):
-        """Runs of starts, per head, with an earlier match and with any match."""
+        """Runs of starts, per head, with an earlier match and with any match.
+
+        The strings of a segment differ, and equal strings share their anchor. So the only
+        segment of an anchor has no match but its own copies, and is not sorted.
+        """
+        earlier = [np.zeros((0, 2), dtype="<u2")] * len(heads)
+        matched = list(earlier)
+        edge = by_group(anchor[heads])
+        several = np.flatnonzero(np.repeat(np.diff(edge) > 1, np.diff(edge)))
+        own_earlier, own_matched = _sorted_factors(heads[several], anchor, doc, digest, place, begins, sizes, bytes_of)
+        for i, x, y in zip(several.tolist(), own_earlier, own_matched, strict=True):
+            earlier[i], matched[i] = x, y
+        return earlier, matched
+
+    def _sorted_factors(heads, anchor, doc, digest, place, begins, sizes, bytes_of):
         earlier = [np.zeros((0, 2), dtype="<u2")] * len(heads)
         matched = list(earlier)
         ends = np.cumsum(sizes[heads].astype(np.int64))
@@ -379,7 +424,7 @@ def remove_repeats(
         runs, _ = joined(answers.column("runs"), "<u2")
         spans, _ = joined(answers.column("spans"), "<u2")
         spans = spans.reshape(-1, 2).astype(np.int64)
-        limits = np.concatenate(([0], np.cumsum(runs.astype(np.int64))))
+        limits_of = np.concatenate(([0], np.cumsum(runs.astype(np.int64))))
         order = np.argsort(names, kind="stable")
         sorted_names = names[order]
         strings, _ = joined(answers.column("strings"), "<u8")
@@ -389,25 +434,28 @@ def remove_repeats(
         first = joined(answers.column("first"), "?")[0][by_hash]
         block = Block(rows, length, k)
         gone = [None] * rows.num_rows
-        seen: set[int] = set()
-        for doc, offset, text_part, s in block.parts():
+        own = own.copy()
+        for pieces, limits, text_part, s in block.parts():
             marks = np.zeros(len(text_part) + 1, dtype=np.int32)
             hit = np.flatnonzero(among(s.name, sorted_names))
-            for i in hit.tolist():
-                at, a = order[np.searchsorted(sorted_names, s.name[i])], s.a[i]
-                name = int(s.name[i])
-                if own[at] and not (keep_first and name in seen):
-                    for start, size in spans[limits[at] : limits[at + 1]].tolist():
-                        marks[a + start] += 1
-                        marks[a + start + size - 1 + length] -= 1
-                else:
-                    marks[a] += 1
-                    marks[s.b[i] + length] -= 1
-                if keep_first:
-                    seen.add(name)
+            at = order[np.searchsorted(sorted_names, s.name[hit])]
+            partly = own[at]
+            if keep_first:  # only the first place of a segment in its first block
+                _, once = np.unique(at, return_index=True)
+                partly = np.zeros(len(at), dtype=bool)
+                partly[once] = own[at[once]]
+                own[at[once]] = False
+            np.add.at(marks, s.a[hit[~partly]], 1)
+            np.add.at(marks, s.b[hit[~partly]] + length, -1)
+            at, begin = at[partly], s.a[hit[partly]]
+            counts = limits_of[at + 1] - limits_of[at]
+            span = spans[_starts(limits_of[at], limits_of[at + 1] - 1)]
+            first_start = np.repeat(begin, counts) + span[:, 0]
+            np.add.at(marks, first_start, 1)
+            np.add.at(marks, first_start + span[:, 1] - 1 + length, -1)
             if len(strings):
-                h, c = _strings(s, np.arange(len(text_part) - length + 1))
-                starts = np.flatnonzero(among(h, strings))
+                h, c = _strings(s, np.arange(len(s.over)))
+                starts = np.flatnonzero(among(h, strings) & ~s.over)
                 starts = starts[_known(h[starts], c[starts], strings, checks)]
                 if keep_first:
                     at = _position(h[starts], c[starts], strings, checks)
@@ -420,9 +468,12 @@ def remove_repeats(
                 np.add.at(marks, starts, 1)
                 np.add.at(marks, starts + length, -1)
             if marks.any():
-                if gone[doc] is None:
-                    gone[doc] = np.zeros(len(block.texts[doc]), dtype=bool)
-                gone[doc][offset : offset + len(text_part)] |= np.cumsum(marks)[:-1] > 0
+                lost = np.cumsum(marks)[:-1] > 0
+                for (doc, offset), x, y in zip(pieces, limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+                    if lost[x:y].any():
+                        if gone[doc] is None:
+                            gone[doc] = np.zeros(len(block.texts[doc]), dtype=bool)
+                        gone[doc][offset : offset + y - x] |= lost[x:y]
         out = []
         for text_bytes, lost in zip(block.texts, gone, strict=True):
             if lost is None:
@@ -434,11 +485,14 @@ def remove_repeats(
                 lost = np.repeat(np.logical_and.reduceat(lost, heads), np.diff(np.append(heads, len(data))))
             n_spans = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if len(lost) else 0
             out.append((data[~lost].tobytes(), len(data), int(lost.sum()), n_spans))
-        kept = table_of(out, pa.schema(list(kept_arrow)[1:]))
-        return kept.add_column(0, "doc_id", rows.column("doc_id"))
+        kept = table_of(out, pa.schema(list(kept_arrow)[1 + len(carry) :]))
+        for c in reversed(["doc_id", *carry]):
+            kept = kept.add_column(0, c, rows.column(c))
+        return kept
 
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
     kept_arrow = pa.schema(
-        [("doc_id", _arrow_type(docs, doc_id)), ("kept", pa.binary()), ("n_bytes", pa.int64()),
+        [("doc_id", _arrow_type(docs, doc_id)), *[(c, _arrow_type(docs, c)) for c in carry], ("kept", pa.binary()), ("n_bytes", pa.int64()),
          ("n_removed", pa.int64()), ("n_spans", pa.int64())]
     )
     anchors = blocks.groupBy("block").applyInArrow(send_anchors, sent)
@@ -448,7 +502,7 @@ def remove_repeats(
     return (
         blocks.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(remove, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long")
+        .applyInArrow(remove, f"doc_id {id_type}, {carried}kept binary, n_bytes long, n_removed long, n_spans long")
     )
 
 
