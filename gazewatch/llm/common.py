@@ -64,15 +64,18 @@ class Memo(dict):
             self.update(zip(unknown, self.compute(unknown), strict=True))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, read from the folder that the cluster shares; their lineage ends there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for such files: the one in spark.checkpoint.dir.
 
-    The folder is the one in spark.checkpoint.dir. Only where a session names none, as in
-    tests, a folder under the warehouse is used.
+    Only where a session names none, as in tests, it is a folder under the warehouse.
     """
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, read from the folder that the cluster shares; their lineage ends there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(folder or f"{warehouse}/_checkpoints")
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

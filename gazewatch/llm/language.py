@@ -193,6 +193,26 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs, "doc_id", F.col("text"), F.lower("lang"), F.col("source"), F.lit(None).cast("string"))
 
 
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """The rows of `documents`, with all their columns, whose language identify() keeps.
+
+    The scores are put beside the whole rows, which pass by in their scan. The priors are
+    joined by source; Spark broadcasts them where their measured size allows it, and else
+    splits a source's rows among tasks.
+    """
+    inner = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(
+        *[F.col(c).alias(name) for c, name in inner.items()],
+        F.lower("lang").alias("declared"), F.col("source").alias("host"),
+        F.lit(None).cast("string").alias("suffix"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    plain = rows.select("declared", "host", "suffix", "text")
+    model = log_likelihoods(plain, languages)
+    scored = _scored(rows, model, languages)
+    judged = posterior(scored, host_priors(plain, languages), languages)
+    return judged.where("kept").select(*[F.col(name).alias(c) for c, name in inner.items()])
+
+
 def identify_pages(pages: DataFrame) -> DataFrame:
     """identify() for `pages`: the lang attribute, the host and its last label, visible text."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))

@@ -22,15 +22,25 @@ from gazewatch.llm.common import checkpointed, slices
 from gazewatch.llm.hashing import Prefixes, Words, mixed
 
 SHINGLE = 3
-#: Bands of ROWS samples. A pair of similarity 0.85 misses all bands once in 10**8 pairs.
-BANDS, ROWS = 32, 5
+#: Samples of a band, and how rarely a similar enough pair may agree in no band at all.
+ROWS, MISSED = 5, 1e-8
 SKETCH_BITS = 1024
 #: Standard deviations that a true pair's sketches may lie beyond what is expected.
 SLACK = 5.0
 #: Members of a bucket that one task compares with as many others.
 TILE = 512
 CHUNK_BYTES = 1_000_000
-_SAMPLES = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_count(percent: int) -> int:
+    """So many bands that a pair of just this similarity is missed once in 10**8 pairs."""
+    return math.ceil(math.log(MISSED) / math.log(1 - min(percent / 100, 0.999) ** ROWS))
+
+
+def samplers(bands: int) -> np.ndarray:
+    """Multiplier and summand of each sample's hash function, the same in every process."""
+    drawn = np.random.default_rng(7).integers(0, 1 << 63, (bands * ROWS, 2), dtype=np.uint64)
+    return drawn * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +65,10 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, width: int, bands: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, band keys and odd sketch of every row."""
     id_type = docs.schema[doc_id].dataType.simpleString()
+    functions, samples = samplers(bands), bands * ROWS
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
@@ -66,19 +77,19 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
             sizes = np.diff(limits)
             some = np.flatnonzero(sizes)
             columns = [np.zeros(len(texts), dtype=np.int64) for _ in range(2)]
-            bands = np.zeros((len(texts), BANDS), dtype=np.int64)
+            keys = np.zeros((len(texts), bands), dtype=np.int64)
             sketch = np.zeros((len(texts), SKETCH_BITS // 64), dtype=np.int64)
             if len(some):
                 at = limits[:-1][some]
                 columns[0][some] = np.add.reduceat(hashes, at).view(np.int64)
                 columns[1][some] = np.add.reduceat(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5)), at).view(np.int64)
-                least = np.stack([np.minimum.reduceat(hashes * a + b, at) for a, b in _SAMPLES], axis=1)
-                seeds = np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                least = np.stack([np.minimum.reduceat(hashes * a + b, at) for a, b in functions], axis=1)
+                seeds = np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 least = mixed(least + seeds)
-                key = np.zeros((len(some), BANDS), dtype=np.uint64)
+                key = np.zeros((len(some), bands), dtype=np.uint64)
                 for r in range(ROWS):
                     key = mixed(key + least[:, r::ROWS])
-                bands[some] = key.view(np.int64)
+                keys[some] = key.view(np.int64)
                 bits = (least % np.uint64(SKETCH_BITS)).astype(np.int64)
                 flat = (np.arange(len(some))[:, None] * SKETCH_BITS + bits).ravel()
                 parity = np.bincount(flat, minlength=len(some) * SKETCH_BITS).astype(np.uint8) & 1
@@ -88,7 +99,7 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), *map(pa.array, columns),
-                 lists(bands), lists(sketch)],
+                 lists(keys), lists(sketch)],
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
             )
 
@@ -104,7 +115,7 @@ def most_ones(similarity: float) -> int:
     Of the samples, a binomial number differs; each puts two places into the XOR, where
     equal places cancel. Both spreads are allowed for.
     """
-    samples = BANDS * ROWS
+    samples = band_count(round(100 * similarity)) * ROWS
     differing = samples * (1 - similarity) + SLACK * math.sqrt(samples * similarity * (1 - similarity))
     expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differing))
     return math.ceil(expected + SLACK * math.sqrt(2 * differing**2 / SKETCH_BITS) + 2)
@@ -235,13 +246,13 @@ def near_duplicates(
     100 * |intersection| >= percent * |union|; component_id is the smallest doc_id that links
     reach. Texts without words have no set and link with nothing. doc_id is an integer: rows
     that share one are one node; a row without one links with nothing, has a null
-    component_id and is kept. percent is 85 or more, for which the bands are laid out.
+    component_id and is kept. The number of bands follows from percent.
 
     Every bucket first compares its members with its smallest one, which is linear. Only
     members that then still are in different components of a bucket are compared with each
     other, by sketches in tiles, so no link is lost and none but these pairs are made.
     """
-    signed = checkpointed(signatures(docs, width, doc_id, text))
+    signed = checkpointed(signatures(docs, width, band_count(percent), doc_id, text))
     valid = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("node", F.col("doc_id").cast("long"))
     classes = checkpointed(valid.groupBy("d1", "d2").agg(F.min("node").alias("node")))
     nodes = valid.join(classes, ["d1", "d2", "node"], "left_semi")

@@ -37,10 +37,9 @@ def op2_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@register
-def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return pieces.select(
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of packed sequences, with a checksum in place of their ids."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json")).select(
         "doc_id",
         "start",
         "length",
@@ -51,6 +50,11 @@ def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents")).select(
