@@ -23,7 +23,7 @@ from gazewatch.llm.hashing import Prefixes, Words, among, mixed
 WINDOW = 35
 #: Perfect difference sets modulo 7, 13, 21 and 31: each difference occurs once.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 
 
 @dataclass(frozen=True)
@@ -94,12 +94,19 @@ def _distinct(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _known(h: np.ndarray, c: np.ndarray, sorted_h: np.ndarray, sorted_c: np.ndarray) -> np.ndarray:
     """Which pairs are among sorted pairs; equal first hashes with other seconds may follow."""
-    hit = among(h, sorted_h)
-    for i in np.flatnonzero(hit):
-        low, high = np.searchsorted(sorted_h, h[i]), np.searchsorted(sorted_h, h[i], "right")
-        if high - low > 1 or sorted_c[low] != c[i]:
-            hit[i] = c[i] in sorted_c[low:high]
-    return hit
+    if not len(sorted_h):
+        return np.zeros(len(h), dtype=bool)
+    last = len(sorted_h) - 1
+    at = np.minimum(np.searchsorted(sorted_h, h), last)
+    found = np.zeros(len(h), dtype=bool)
+    todo = np.flatnonzero(sorted_h[at] == h)
+    while len(todo):  # more than once only where 64 bits collide
+        equal = sorted_c[at[todo]] == c[todo]
+        found[todo[equal]] = True
+        todo = todo[~equal & (at[todo] < last)]
+        at[todo] += 1
+        todo = todo[sorted_h[at[todo]] == h[todo]]
+    return found
 
 
 def _schema(**fields: str) -> tuple[str, pa.Schema]:
@@ -189,8 +196,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             gone = np.zeros(len(words.hashes) + 1, dtype=np.int32)
             if len(known_h) and len(fits):
                 h, c = _windows(words, window)
-                starts = np.flatnonzero(fits & among(h, known_h))
-                starts = starts[_known(h[starts], c[starts], known_h, known_c)]
+                starts = np.flatnonzero(fits & _known(h, c, known_h, known_c))
                 np.add.at(gone, starts, 1)
                 np.add.at(gone, starts + window, -1)
             gone = np.cumsum(gone)[:-1] > 0
