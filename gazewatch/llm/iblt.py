@@ -247,7 +247,8 @@ def next_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every row's text and edited text, and likenesses, as named below.
 
-    doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next.
+    doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next and
+    next_id, the next row's doc_id.
     The edited text has its last floor(n_chars / 2) characters replaced by the first as many
     of the next row's text. Null texts are empty; identical rows count as one place in the
     order and give equal results. A sole row is its own next one. The texts are shuffled
@@ -256,7 +257,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), *_row_keys(doc_id, text))
+    # Both reads of the rows take the same columns, so they share one exchange.
     sent = rows.join(next_rows(docs, doc_id, text), ["k1", "k2"]).select(
+        F.col("doc_id").alias("next_id"),
         F.col("p1").alias("k1"),
         F.col("p2").alias("k2"),
         F.substring("text", F.lit(1), F.floor(F.col("p_chars") / 2).cast("int")).alias("head"),
@@ -267,6 +270,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head"))
     met = rows.join(sent, ["k1", "k2"]).select(
         "doc_id",
+        "next_id",
         F.length("text").cast("long").alias("n_chars"),
         edited.alias("edited"),
         paragraph_digests(F.col("text")).alias("digests"),
@@ -289,4 +293,5 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
         near("edited").alias("near_edited"),
         near("next").alias("near_next"),
+        "next_id",
     )

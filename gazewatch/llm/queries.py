@@ -95,6 +95,7 @@ def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         "near_edited",
         "near_next",
+        "next_id",
     )
 
 
