@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazewatch.llm.common import Memo, slices
+from gazewatch.llm.common import slices
+from gazewatch.llm.memo import PieceMemo, by_text, laid_out, white_space
 
 WINDOW = 1024
 END_ID = 0
+#: Unknown pieces that go to the library as one text.
+JOINED = 500
 BATCH_BYTES = 2_000_000
-MEMO_WORDS = 300_000
 #: A shard of the index holds so many tokens or documents at most (or one document).
 SHARD_TOKENS = 3_000_000
 SHARD_DOCS = 2_048
@@ -25,13 +27,19 @@ QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 
+_SIGNS, _LETTERS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SIGNS[list(b".,;:!?()")] = True
+_LETTERS[[c for c in range(128) if chr(c).isalnum()]] = True
+
+
 class ByteEncoder:
     """Ids of texts by a byte-level vocabulary file, as its library gives them.
 
-    The vocabulary's pattern never joins a character with a space that follows it, and it
-    gives a space to the word after it. So a text cut before single spaces and around
-    single line feeds can be encoded by pieces, which are remembered. Where white space
-    touches such a cut, the whole text goes to the library.
+    The vocabulary's pattern never joins a character with white space that follows it, and
+    it gives a single space to the word after it. So a text falls into pieces before each
+    single space and around each single line feed, with no white space on either side, and
+    between a letter and a sign.
+    Each distinct piece is encoded by the library once and remembered.
     """
 
     def __init__(self, path: str):
@@ -39,39 +47,47 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.feed = self._encode(["\n"])[0]
-        self.first = Memo(self._encode_pieces, MEMO_WORDS)
-        self.later = Memo(lambda words: self._encode_pieces([" " + w for w in words]), MEMO_WORDS)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.mark, self.mark_id = special[0], self.tokenizer.token_to_id(special[0])
+        if any(_SIGNS[list("".join(special).encode())]):
+            raise ValueError("a special string holds a sign at which texts are cut")
+        self.memo = PieceMemo(self._encode)
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces go to the library as one text with its special string between them,
+        which it never joins with anything, or one by one where a piece has that string itself."""
+        texts = [p.decode() for p in pieces]
+        whole = [t for t in texts if self.mark not in t]
+        if len(whole) < len(texts):
+            found = self._ids(texts)
+            return np.concatenate(found), np.array([len(ids) for ids in found], dtype=np.int64)
+        joined = [self.mark.join(whole[i : i + JOINED]) for i in range(0, len(whole), JOINED)]
+        ids = np.concatenate([np.append(ids, np.uint32(self.mark_id)) for ids in self._ids(joined)])
+        marks = np.flatnonzero(ids == self.mark_id)
+        return ids[ids != self.mark_id], np.diff(np.concatenate(([-1], marks))) - 1
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes | None]:
-        """None for pieces that cannot stand alone."""
-        encoded = self._encode(pieces)
-        return [
-            None if not (core := p.removeprefix(" ")) or core[0].isspace() or core[-1].isspace() else e
-            for p, e in zip(pieces, encoded, strict=True)
-        ]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self.first.learn({words[0] for lines in split for words in lines})
-        self.later.learn({w for lines in split for words in lines for w in words[1:]})
-        first, later, found = self.first.__getitem__, self.later.__getitem__, []
-        for text, lines in zip(texts, split, strict=True):
-            parts = []
-            for words in lines:
-                parts += (self.feed, first(words[0]))
-                parts += map(later, words[1:])
-            if not text:
-                found.append(b"")
-            elif None in parts:
-                found.append(self._encode([text])[0])
-            else:
-                found.append(b"".join(parts[1:]))
-        return found
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        data, limits = laid_out(texts)
+        if not len(data):
+            return [np.zeros(0, dtype=np.uint32) for _ in texts]
+        white = white_space(data) | ((data >= 28) & (data <= 31))
+        alone = np.zeros(len(data), dtype=bool)
+        alone[1:-1] = ~white[:-2] & ~white[2:]
+        edges = limits[(limits > 0) & (limits < len(data))]
+        alone[edges] = alone[edges - 1] = False
+        feeds = np.flatnonzero(alone & (data == 10))
+        cut = np.zeros(len(data), dtype=bool)
+        cut[alone & (data == 32)] = cut[feeds] = cut[feeds + 1] = True
+        # A sign right after a letter or digit begins a new word of the pattern.
+        cut[1:] |= _SIGNS[data[1:]] & _LETTERS[data[:-1]]
+        cut[limits[:-1][limits[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        ids, sizes = self.memo.take(data, starts, np.append(starts[1:], len(data)))
+        return by_text(ids, sizes, starts, limits)
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -207,18 +223,18 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, doc_id: str = "
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = byte_encoder(vocabulary)
-        closing = np.array([END_ID], dtype="<u4").tobytes()
+        closing = np.array([END_ID], dtype=np.uint32)
         number = TaskContext.get().partitionId() << 33
         held, owners, tokens = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, owners, tokens, number
             rows, size = [], 0
-            for sequence in pack_shard([np.frombuffer(h, dtype="<u4") for h in held], window):
+            for sequence in pack_shard(held, window):
                 offset = 0
                 for doc, start, length in sequence:
-                    ids = held[doc][4 * start : 4 * (start + length)]
-                    rows.append((owners[doc], start, length, ids, len(held[doc]) // 4, number, offset))
+                    ids = held[doc][start : start + length].astype("<u4").tobytes()
+                    rows.append((owners[doc], start, length, ids, len(held[doc]), number, offset))
                     offset += length
                     size += length
                 number += 1
@@ -237,11 +253,11 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, doc_id: str = "
         id_kind = None
         for batch in slices(batches, "text", BATCH_BYTES):
             id_kind = batch.schema.field("doc_id").type
-            texts = batch.column("text").fill_null("").to_pylist()
+            texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
             for owner, ids in zip(batch.column("doc_id").to_pylist(), work.encode(texts), strict=True):
-                held.append(ids + closing)
+                held.append(np.concatenate((ids, closing)))
                 owners.append(owner)
-                tokens += len(held[-1]) // 4
+                tokens += len(held[-1])
                 if tokens >= SHARD_TOKENS or len(held) >= SHARD_DOCS:
                     yield from flush()
         if held:
