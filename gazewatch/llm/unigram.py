@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,10 +11,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazewatch.llm.common import Memo, slices
+from gazewatch.llm.common import slices
+from gazewatch.llm.memo import PieceMemo, by_text, laid_out
 
 BATCH_BYTES = 2_000_000
-MEMO_WORDS = 300_000
 MARK = "▁"
 #: How much worse than the rarest piece a character given as bytes is.
 FALLBACK_PENALTY = 10.0
@@ -86,14 +85,13 @@ class Pieces:
             self.bytes[i] = bytes([byte])
         self.fallback = min(s for _, s in pieces.values()) - FALLBACK_PENALTY
 
-    def best(self, unit: str) -> list[int]:
+    def best(self, key: bytes) -> list[int]:
         """The ids of the path with the highest sum of scores.
 
         A character that no piece starts with its own length for can go as bytes, at the
         fallback score. Of equal paths the one whose last differing piece begins earliest
         wins, so the result does not depend on the order of the vocabulary.
         """
-        key = unit.encode()
         n, scores, fallback = len(key), self.scores, self.fallback
         best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
         best[0], at = 0.0, 0
@@ -151,16 +149,27 @@ class Encoder:
         if inner:
             raise ValueError(f"pieces over the edge of a word: {inner[:3]}")
         self.pieces = pieces
-        self.units = Memo(self._encode, MEMO_WORDS)
-
-    def _encode(self, units: list[str]) -> Iterator[bytes]:
-        for unit in units:
-            yield np.array(self.pieces.best(unit), dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [re.findall(r"\n| *[^ \n]+| +", " " + t) if t else [] for t in texts]
-        self.units.learn(set().union(*split))
-        return [b"".join(map(self.units.__getitem__, units)) for units in split]
+        self.memo = PieceMemo(self._encode)
+
+    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.pieces.best(u) for u in units]
+        return np.array([i for own in ids for i in own], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        filled = [i for i, t in enumerate(texts) if t]
+        found = [b""] * len(texts)
+        if filled:
+            data, limits = laid_out([texts[i] for i in filled], b" ")
+            feeds = np.flatnonzero(data == 10)
+            cut = data == 32
+            cut[1:] &= data[:-1] != 32
+            cut[feeds] = cut[limits[:-1]] = True
+            cut[np.minimum(feeds + 1, len(data) - 1)] = True
+            starts = np.flatnonzero(cut)
+            ids, sizes = self.memo.take(data, starts, np.append(starts[1:], len(data)))
+            for i, own in zip(filled, by_text(ids, sizes, starts, limits), strict=True):
+                found[i] = own.astype("<u4").tobytes()
+        return found
 
     def decode(self, ids: bytes) -> bytes:
         found = np.frombuffer(ids, dtype="<u4").tolist()
@@ -189,7 +198,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(model)
         for batch in slices(batches, "text", BATCH_BYTES):
-            texts = batch.column("text").fill_null("").to_pylist()
+            texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(work.encode(texts), pa.binary())],
                 names=["doc_id", "ids"],
