@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazewatch.llm.common import Memo, slices
+from gazewatch.llm.memo import PieceMemo, laid_out, white_space
 
 BATCH_BYTES = 2_000_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -90,7 +91,7 @@ class Counter:
         self.special = regex.compile("|".join(special)) if special else None
         self.letters = byte_letters()
         self.words = Memo(self._count_words, MEMO_WORDS)
-        self.pieces = Memo(self._count_pieces, MEMO_WORDS)
+        self.pieces = PieceMemo(self._count_pieces)
 
     def _count_words(self, words: list[str]) -> Iterator[int]:
         for word in words:
@@ -107,18 +108,19 @@ class Counter:
             words += self.pattern.findall(folded)
         return words, len(parts) - 1
 
-    def _count_pieces(self, pieces: list[str]) -> list[int]:
-        parts = [self._parts(p) for p in pieces]
+    def _count_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._parts(p.decode()) for p in pieces]
         self.words.learn({w for words, _ in parts for w in words})
-        return [sum(map(self.words.__getitem__, words)) + special for words, special in parts]
+        counts = [sum(map(self.words.__getitem__, words)) + special for words, special in parts]
+        return np.array(counts, dtype=np.uint32), np.ones(len(counts), dtype=np.int64)
 
-    def count(self, texts: list[str]) -> list[int]:
-        # str.split also parts at four control characters that are no white space elsewhere.
-        split = [
-            regex.findall(r"[^\s]+", t) if regex.search("[\x1c-\x1f]", t) else t.split() for t in texts
-        ]
-        self.pieces.learn(set().union(*split))
-        return [sum(map(self.pieces.__getitem__, pieces)) for pieces in split]
+    def count(self, texts: list[bytes]) -> np.ndarray:
+        data, limits = laid_out(texts, b" ")
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], white_space(data), [True])).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        counts, _ = self.pieces.take(data, starts, ends)
+        total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        return np.diff(total[np.searchsorted(starts, limits)])
 
 
 @lru_cache(maxsize=1)
@@ -139,12 +141,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
         for batch in slices(batches, "text", BATCH_BYTES):
-            texts = batch.column("text").fill_null("")
+            texts = batch.column("text").fill_null("").cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.compute.binary_length(texts).cast(pa.int64()),
-                    pa.array(np.array(count(texts.to_pylist()), dtype=np.int64)),
+                    pa.array(count(texts.to_pylist())),
                 ],
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
