@@ -160,7 +160,9 @@ _numbered = f"""numbered AS (
     {_heading} AS heading
   FROM matches)"""
 _kw = _text(Q.KEYWORD)
-_first = f"(SELECT doc_id, text, instr(lower(text), {_kw}) - 1 AS position FROM documents)"
+_every = f"""(SELECT doc_id, text, i - 1 AS position FROM (
+  SELECT doc_id, text, lower(text) AS t, unnest(range(1, length(text) + 1)) AS i FROM documents) d
+  WHERE substr(t, i, {len(Q.KEYWORD)}) = {_kw})"""
 _pages = f"""kept AS (
   SELECT conv_id, turn, {_trim('text')} AS text FROM conversations WHERE {_trim('text')} <> '')"""
 _beat = "(isodow(run_ts) <= 5 AND hour(run_ts) >= 9 AND hour(run_ts) < 11)"
@@ -204,9 +206,9 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) + 1)) AS i FROM documents) d
       WHERE substr(t, i, {len(Q.KEYWORD)}) = {_kw}""",
     "context_snippet": f"""SELECT doc_id, position, substr(text, greatest(position - 250, 0) + 1,
-      position + 250 - greatest(position - 250, 0)) AS snippet FROM {_first} WHERE position >= 0""",
+      position + 250 - greatest(position - 250, 0)) AS snippet FROM {_every}""",
     "locate_line": f"""SELECT doc_id, position, len(string_split(substr(text, 1, position), chr(10))) - 1 AS line_no
-      FROM {_first} WHERE position >= 0""",
+      FROM {_every}""",
     "line_offsets": """SELECT doc_id, line_no, length(line) AS n_chars,
       CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_offset
@@ -237,6 +239,8 @@ ORACLE: dict[str, str] = {
     "new_files_anti": f"{FILES} SELECT * FROM files WHERE file_name NOT IN (SELECT file_name FROM {LEDGER})",
     "processed_semi": f"{FILES} SELECT * FROM files WHERE file_name IN (SELECT file_name FROM {LEDGER})",
     "ledger_upsert": f"{FILES} SELECT file_name, edition_date AS processed_date FROM files",
+    "matches_committed": f"""{MATCHES} SELECT source_file, 'run-' || strftime(edition_date, '%Y-%m') AS run_id,
+      filter_name, keyword_hit, line_no FROM matches WHERE edition_date < DATE '{Q.LEDGER_BEFORE}'""",
     "filter_section_join": f"""{RULES} SELECT f.*, r.filter_ord, r.nome, r.orgao FROM files f JOIN rules r
       ON r.secao = f.secao""",
     "claim_all_filters": f"{RULES} SELECT f.file_name, r.filter_ord FROM files f JOIN rules r ON r.secao = f.secao",

@@ -193,27 +193,16 @@ def keyword_positions(spark, folder):
     return documents.keyword_positions(table(spark, folder, "documents"), "doc_id", KEYWORD)
 
 
-def _first_positions(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(
-        "doc_id", "text", X.fold(F.col("text")).alias("_folded")
-    )
-    position = F.locate(KEYWORD, F.col("_folded")) - 1
-    found = docs.withColumn("position", position.cast("bigint")).where("position >= 0")
-    return found.drop("_folded")
-
-
 @query
 def context_snippet(spark, folder):
-    return _first_positions(spark, folder).select(
-        "doc_id", "position", X.context_snippet(F.col("text"), F.col("position")).alias("snippet")
-    )
+    docs = table(spark, folder, "documents")
+    return documents.at_keyword(docs, "doc_id", KEYWORD, snippet=X.context_snippet)
 
 
 @query
 def locate_line(spark, folder):
-    return _first_positions(spark, folder).select(
-        "doc_id", "position", X.line_of(F.col("text"), F.col("position")).alias("line_no")
-    )
+    docs = table(spark, folder, "documents")
+    return documents.at_keyword(docs, "doc_id", KEYWORD, line_no=X.line_of)
 
 
 @query
@@ -319,6 +308,19 @@ def ledger_upsert(spark, folder):
     return known.unionByName(added)
 
 
+@query
+def matches_committed(spark, folder):
+    """Matches of monthly runs. The later months' files are in the ledger from another run."""
+    run_id = F.concat(F.lit("run-"), F.date_format("edition_date", "yyyy-MM"))
+    later = F.col("edition_date") >= F.lit(LEDGER_BEFORE)
+    ledger = gazette.files(spark, folder).select("file_name", F.when(later, F.lit("other")).otherwise(run_id).alias("run_id"))
+    found = _acts_in(gazette.staged_lines(spark, folder)).select(
+        F.col("file_name").alias("source_file"), run_id.alias("run_id"), "filter_name",
+        F.col("keyword").alias("keyword_hit"), "line_no",
+    )
+    return select.committed(found, ledger)
+
+
 @query
 def filter_section_join(spark, folder):
     joined = select.rules_for_files(gazette.files(spark, folder), _rules(spark))
@@ -450,7 +452,7 @@ def digest_decision(spark, folder):
 
 @query
 def matches_per_filter(spark, folder):
-    return report.matches_per_filter(_matches(spark, folder))
+    return report.matches_per_filter(_acts_in(gazette.staged_lines(spark, folder)))
 
 
 @query
@@ -460,11 +462,10 @@ def match_row_ids(spark, folder):
     )
 
 
-def _search_files(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Matches in the chosen files. The choice meets the gate, never the text."""
-    rules = _rules(lines.sparkSession)
-    allowed = select.claims(chosen, rules)
-    return search.find_matches(lines, rules, back=BACK, forward=FORWARD, allowed=allowed)
+def _acts_in(lines: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Acts that match, in the chosen files. Counting them takes no text."""
+    lines = lines if chosen is None else search.of_files(lines, chosen)
+    return search.find_acts(lines, _rules(lines.sparkSession), back=BACK, forward=FORWARD)
 
 
 @query
@@ -473,7 +474,8 @@ def run_for_date(spark, folder):
     window = select.in_window(gazette.files(spark, folder), TARGET, 2)
     chosen = select.new_files(select.prefer_archives(window), _ledger(spark, folder))
     lines = stage(select.in_window(gazette.lines(spark, folder), TARGET, 2), "gazette")
-    return _search_files(lines, chosen)
+    lines = search.of_files(lines, chosen)
+    return search.find_matches(lines, _rules(spark), back=BACK, forward=FORWARD)
 
 
 @query
@@ -481,7 +483,7 @@ def run_summary(spark, folder):
     """A run for every edition day: files looked at, matches found, note."""
     chosen = select.prefer_archives(gazette.files(spark, folder))
     processed = chosen.withColumnRenamed("edition_date", "run_date")
-    found = _search_files(gazette.staged_lines(spark, folder), chosen)
+    found = _acts_in(gazette.staged_lines(spark, folder), chosen)
     found = found.withColumnRenamed("edition_date", "run_date")
     return report.run_summary(processed, found, None, F.lit(False))
 
@@ -489,5 +491,5 @@ def run_summary(spark, folder):
 @query
 def backfill_rollup(spark, folder):
     chosen = select.prefer_archives(gazette.files(spark, folder))
-    found = _search_files(gazette.staged_lines(spark, folder), chosen)
+    found = _acts_in(gazette.staged_lines(spark, folder), chosen)
     return report.per_day(found, *RANGE)

@@ -11,10 +11,10 @@ from gazewatch import fixed
 
 
 def in_lookback(day: Column, target: Column | date, days: int | None = None) -> Column:
-    """Day lies in the window of ``days`` days before the target, both ends included."""
+    """Day lies in the window of ``days`` days before the target; both days count whole."""
     days = fixed.LOOKBACK_DAYS if days is None else days
     target = _as_date(target)
-    return day.between(F.date_sub(target, days), target)
+    return (day >= F.date_sub(target, days)) & (day < F.date_add(target, 1))
 
 
 def on_day(day: Column, target: Column | date) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,23 +65,27 @@ def join_rules(
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in the session.
 
-    Only a local session without that setting gets a temporary folder.
+    A session without that setting uses its warehouse, which executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), "gazewatch-" + spark.sparkContext.applicationId)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return (folder or f"{warehouse}/_staged").rstrip("/")
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write a table that several scans will read, and read it back.
 
     The copy outlives lost executors, cuts the lineage, and gives later scans
-    column pruning, filter push-down and true sizes to plan with.
+    column pruning, filter push-down and true sizes to plan with. A run names its own
+    folder, whose copies it replaces and drops; others go to the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = f"{folder}/{name}" if folder else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of staged copies, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -21,9 +21,13 @@ def ordered_rank(
     ``levels`` are columns from coarse to fine that cut a group into bounded
     pieces. Rows are counted per piece before any shuffle, the counts are added
     up level by level, and only a single piece is ever sorted by one task. So a
-    group holding a third of all rows costs as much as any other.
+    group holding a third of all rows costs as much as any other. A null key is a
+    value like any other, the lowest: keys are compared inside structs.
     """
-    within, levels = list(within), list(levels)
+    columns_in = df.columns
+    wrapped = {c: f"_key_{c}" for c in [*within, *levels]}
+    df = df.withColumns({name: F.struct(c) for c, name in wrapped.items()})
+    within, levels = [wrapped[c] for c in within], [wrapped[c] for c in levels]
     keys = [within + levels[: i + 1] for i in range(len(levels))]
 
     sizes = [df.groupBy(*keys[-1]).agg(F.count(F.lit(1)).alias("_n"))]
@@ -53,5 +57,5 @@ def ordered_rank(
     piece = Window.partitionBy(*keys[-1]).orderBy(*order)
     numbered = df.join(offsets.drop("_n"), keys[-1])
     position = F.col("_before") + F.row_number().over(piece) - 1
-    out = [*df.columns, position.cast("bigint").alias(rank)]
+    out = [*columns_in, position.cast("bigint").alias(rank)]
     return numbered.select(*out, *([F.col(total).cast("bigint").alias(total)] if total else []))

@@ -66,6 +66,12 @@ def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.select("file_name"), "file_name", "left_anti")
 
 
+def committed(matches: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Matches whose file the ledger has from the same run; those of unfinished runs are left out."""
+    done = ledger.select(F.col("file_name").alias("source_file"), "run_id").distinct()
+    return matches.join(done, ["source_file", "run_id"], "left_semi").select(*matches.columns)
+
+
 def processed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files the ledger knows already."""
     return files.join(ledger.select("file_name"), "file_name", "left_semi")
@@ -91,11 +97,12 @@ def claims(files: DataFrame, rules: DataFrame, mode: str = "all_filters") -> Dat
     ``all_filters`` gives a file to every rule of its section; ``first_filter``
     gives it to the first one only, which starves the later rules.
     """
-    pairs = rules_for_files(files, rules).select("file_name", "filter_ord")
     if mode == "all_filters":
-        return pairs.distinct()
+        return rules_for_files(files, rules).select("file_name", "filter_ord").distinct()
     if mode == "first_filter":
-        return pairs.groupBy("file_name").agg(F.min("filter_ord").alias("filter_ord"))
+        firsts = rules.groupBy("secao").agg(F.min("filter_ord").alias("filter_ord"))
+        claimed = files.select("file_name", "secao").join(firsts, "secao")
+        return claimed.groupBy("file_name").agg(F.min("filter_ord").alias("filter_ord"))
     raise ValueError(f"unknown claim mode {mode!r}")
 
 

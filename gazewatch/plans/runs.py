@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazewatch import fixed, schemas
 from gazewatch.functions import dates as D
-from gazewatch.functions.sizing import stage
+from gazewatch.functions.sizing import drop_folder, stage
 from gazewatch.operators import digest as G
 from gazewatch.operators import report, select
 from gazewatch.plans.search import find_matches
@@ -75,8 +76,12 @@ def backfill(
     page_text: DataFrame | None = None,
     settings: Settings = Settings(),
 ) -> Outcome:
-    """Search a whole range of days at once: no lookback, no digest, one run row per day."""
-    run_id = run_id or f"backfill-{start.isoformat()}-{end.isoformat()}"
+    """Search a whole range of days at once: no lookback, no digest, one run row per day.
+
+    Files in the ledger are passed over, unless ``run_id`` names an earlier backfill,
+    which is then repeated.
+    """
+    run_id = run_id or f"backfill-{start.isoformat()}-{end.isoformat()}-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
     day = F.col("edition_date")
     chosen = select.prefer_archives(files.where(day.between(F.lit(start), F.lit(end))))
     outcome = process(spark, chosen, tables, rules, run_id, page_text, settings)
@@ -119,15 +124,17 @@ def process(
     repetition replaces the partitions of the same run. The anti join comes before
     any content is read, and content is read once into a staged table of lines.
     """
+    tables.begin(run_id)
     ledger = tables.known_files(run_id)
     fresh = select.new_files(select.of_rule_sections(chosen, rules), ledger)
-    new = stage(select.first_listing(fresh.select(*schemas.FILES.names)), "files")
+    work = f"{tables.path('_work')}/{quote(run_id, safe='')}"
+    new = stage(select.first_listing(fresh.select(*schemas.FILES.names)), "files", work)
 
-    pages = stage(edition_pages(new, page_text), "pages")
-    failed = stage(failures(new, pages), "failed")
+    pages = stage(edition_pages(new, page_text), "pages", work)
+    failed = stage(failures(new, pages), "failed", work)
     read = new.join(failed.select("file_name"), "file_name", "left_anti")
     good = pages.where("err IS NULL").join(failed.select("file_name"), "file_name", "left_anti")
-    lines = stage(page_lines(good.drop("err")), "lines")
+    lines = stage(page_lines(good.drop("err")), "lines", work)
 
     allowed = None
     if settings.claim != "all_filters":
@@ -137,7 +144,9 @@ def process(
     )
     matches = tables.put_matches(found, run_id)
     tables.put_quarantine(failed, run_id)
-    return Outcome(run_id, tables.put_processed(read, run_id), matches)
+    outcome = Outcome(run_id, tables.put_processed(read, run_id), matches)
+    drop_folder(spark, work)
+    return outcome
 
 
 def edition_pages(files: DataFrame, page_text: DataFrame | None) -> DataFrame:

@@ -56,6 +56,24 @@ def find_matches(
     return A.publications(A.with_full_text(kept, lines))
 
 
+def find_acts(lines: DataFrame, rules: DataFrame, **options) -> DataFrame:
+    """The acts that match, without their text: enough to count, date and name matches."""
+    hits = gated_hits(lines, rules, **options)
+    return A.first_per_title(A.label_untitled(hits, lines)).withColumnRenamed("nome", "filter_name")
+
+
+def of_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines of the given files only, dropped in the scan before anything is searched.
+
+    A list of files within the broadcast limits meets the lines as they are read. A larger
+    one is joined by file name and day, which the planner sizes.
+    """
+    names = files.select("file_name").distinct()
+    if sizing.fits_broadcast(names):
+        names = F.broadcast(names)
+    return lines.join(names, "file_name", "left_semi").select(*lines.columns)
+
+
 def find_matches_in_documents(docs: DataFrame, rules: DataFrame, **options) -> DataFrame:
     """The same for documents that hold their text in one row.
 

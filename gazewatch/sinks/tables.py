@@ -1,12 +1,16 @@
 """The stored tables: matches, ledger, quarantine, runs and digests, as Parquet.
 
-Every table is partitioned by the run that wrote it, and a run replaces only its
-own partitions. So a run that failed half way can simply be repeated.
+Every table has a folder for each run that wrote it, and a run replaces its whole
+folders, also where it has nothing to write. The ledger comes last and makes the rest
+valid: matches count once their file is in the ledger under the same run, and a file in
+the ledger is no longer in quarantine. So a run that failed half way can be repeated, or
+followed by another one, and each match is seen once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +44,19 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def read(self, name: str) -> DataFrame:
+    def written(self, name: str) -> DataFrame:
+        """All rows of a table, those of unfinished runs too."""
         return self.spark.read.schema(LAYOUT[name][0]).parquet(self.path(name))
 
+    def read(self, name: str) -> DataFrame:
+        """The valid rows of a table."""
+        rows = self.written(name)
+        if name == "matches":
+            return select.committed(rows, self.written("processed_files"))
+        if name == "quarantine":
+            return select.new_files(rows, self.written("processed_files"))
+        return rows
+
     def of_run(self, name: str, run_id: str) -> DataFrame:
         return self.read(name).where(F.col("run_id") == run_id)
 
@@ -52,26 +66,30 @@ class Tables:
             self.read(name).createOrReplaceTempView(name)
 
     def _replace(self, name: str, rows: DataFrame, run_id: str) -> DataFrame:
-        """Write the partitions of a run.
+        """Replace all that a run has written, also by nothing.
 
         Rows are gathered by partition first, or every task would write a small file
         into every day; the rebalance splits days that are too large for one task.
         """
         schema, parts = LAYOUT[name]
-        stamped = rows.withColumn("run_id", F.lit(run_id))
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "run_id"]
         (
-            stamped.select(*columns)
+            rows.select(*columns)
             .hint("rebalance", *parts[1:])
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
-            .parquet(self.path(name))
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(*parts[1:])
+            .parquet(f"{self.path(name)}/run_id={quote(run_id, safe='')}")
         )
-        return self.of_run(name, run_id)
+        return self.written(name).where(F.col("run_id") == run_id)
+
+    def begin(self, run_id: str) -> None:
+        """Take back what an earlier try of a run had declared done, the ledger first."""
+        for name in ("processed_files", "runs", "digests"):
+            self._replace(name, self.spark.createDataFrame([], LAYOUT[name][0]), run_id)
 
     def put_matches(self, matches: DataFrame, run_id: str) -> int:
-        """Store the matches of a run and say how many there are."""
+        """Store the matches of a run and say how many there are. They count once the ledger has their files."""
         stored = self._replace(
             "matches", matches.withColumn("created_ts", F.current_timestamp()), run_id
         )

@@ -13,10 +13,10 @@ from gazewatch import schemas
 from gazewatch.operators import select
 from gazewatch.plans.runs import Settings, finish, process
 from gazewatch.sinks.tables import Tables
-from gazewatch.sources.listing import edition_attributes
+from gazewatch.sources.listing import edition_attributes, stored_files
 
 
-def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:
+def arriving_files(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Names of edition files as they arrive; content is not part of the stream.
 
     The source remembers every file it has seen, so ``maxFileAge`` is lifted far
@@ -26,11 +26,11 @@ def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 10_0
         spark.readStream.format("binaryFile")
         .schema(schemas.BINARY_FILES)
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
         .option("maxFileAge", "3650d")
-        .load(folder)
     )
-    return edition_attributes(arrived.select("path"))
+    if files_per_batch:
+        arrived = arrived.option("maxFilesPerTrigger", files_per_batch)
+    return edition_attributes(arrived.load(folder).select("path"))
 
 
 def drop_repeats(arrivals: DataFrame, within: str = "2 days") -> DataFrame:
@@ -44,23 +44,35 @@ def drop_repeats(arrivals: DataFrame, within: str = "2 days") -> DataFrame:
 
 
 def search_batch(
+    folder: str,
     tables: Tables,
     rules: DataFrame,
     name: str,
     settings: Settings = Settings(),
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     page_text: DataFrame | None = None,
-) -> Callable[[DataFrame, int], None]:
-    """The work on one micro-batch. A repeated batch has the same number and replaces itself."""
+) -> Callable[[DataFrame, int | str], None]:
+    """The work on one micro-batch. A repeated batch has the same number and replaces itself.
+
+    Which files count is decided on the names in the folder, not on the batch, so the
+    size of batches changes nothing: an archive that is listed, even a broken one, hides
+    the signed files of its day and section. Files in quarantine that are still listed
+    are tried again with the batch.
+    """
 
-    def search(batch: DataFrame, number: int) -> None:
+    def search(batch: DataFrame, number: int | str) -> None:
         spark = batch.sparkSession
         run_id = f"{name}-{number}"
         moment = clock()
-        earlier = edition_attributes(
-            tables.known_files(run_id).select(F.col("file_name").alias("path"))
-        )
-        chosen = select.prefer_archives(batch, earlier)
+        listed = stored_files(spark, folder)
+        # Without the ledger of an earlier try of this batch, which is about to be replaced.
+        failed = select.new_files(tables.written("quarantine"), tables.known_files(run_id))
+        failed = failed.select("file_name").distinct()
+        again = listed.join(failed, "file_name", "left_semi")
+        wanted = batch.unionByName(again).dropDuplicates(["file_name"])
+        days = wanted.select("edition_date", "secao").distinct()
+        present = listed.join(days, ["edition_date", "secao"], "left_semi")
+        chosen = select.prefer_archives(wanted, present)
         outcome = process(spark, chosen, tables, rules, run_id, page_text, settings)
         finish(spark, tables, rules, outcome, moment.date(), moment, settings)
 
@@ -77,14 +89,29 @@ def monitor(
     settings: Settings = Settings(),
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     page_text: DataFrame | None = None,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Search whatever arrived since the last call, then stop. Meant to be run periodically."""
-    work = search_batch(tables, rules, name, settings, clock, page_text)
-    return (
-        arriving_files(spark, folder)
+    """Search whatever arrived since the last call, then stop. Meant to be run periodically.
+
+    A call that finds nothing new still writes its run row, tries files in quarantine
+    again, and sends the heartbeat if it is due.
+    """
+    work = search_batch(folder, tables, rules, name, settings, clock, page_text)
+    batches = []
+
+    def count_and_work(batch: DataFrame, number: int) -> None:
+        batches.append(number)
+        work(batch, number)
+
+    query = (
+        arriving_files(spark, folder, files_per_batch)
         .writeStream.queryName(name)
-        .foreachBatch(work)
+        .foreachBatch(count_and_work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    query.awaitTermination()
+    if not batches:
+        work(spark.createDataFrame([], schemas.FILES), f"quiet-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}")
+    return query

@@ -113,7 +113,7 @@ def test_a_repeated_run_replaces_itself(spark, folder, tables, monkeypatch):
         with pytest.raises(RuntimeError, match="lost"):
             go(spark, folder, tables, run_id="a")
     assert tables.read("processed_files").count() == 0
-    assert stored(tables) == expected(ACTS)
+    assert stored(tables) == []  # not valid before the ledger has the file
     for _ in range(2):
         outcome = go(spark, folder, tables, run_id="a")
         assert outcome.files == 1 and stored(tables) == expected(ACTS)
@@ -130,6 +130,55 @@ def test_broken_files_are_set_aside_and_tried_again(spark, folder, tables):
     editions.archive(folder, "2025-01-09-DO1.zip", ACTS)
     assert go(spark, folder, tables, run_id="b").files == 1
     assert tables.read("processed_files").count() == 2
+    assert tables.read("quarantine").count() == 0
+
+
+def state(tables):
+    return {
+        "ledger": sorted(r.file_name for r in tables.read("processed_files").collect()),
+        "quarantine": sorted(r.file_name for r in tables.read("quarantine").collect()),
+        "runs": [(r.files_processed, r.matches_found) for r in tables.read("runs").collect()],
+        "digests": tables.read("digests").count(),
+        "matches": tables.read("matches").count(),
+    }
+
+
+def test_a_repeat_replaces_all_that_a_run_wrote(spark, folder, tables):
+    """The file is broken, then repaired, then has no hit, then is broken again."""
+    editions.broken(folder, "2025-01-10-DO1.zip")
+    go(spark, folder, tables, run_id="a/1 x")
+    want = dict(ledger=[], quarantine=["2025-01-10-DO1.zip"], runs=[(0, 0)], digests=0, matches=0)
+    assert state(tables) == want
+    editions.archive(folder, "2025-01-10-DO1.zip", ACTS)
+    n = go(spark, folder, tables, run_id="a/1 x").matches
+    assert n and state(tables) == dict(ledger=["2025-01-10-DO1.zip"], quarantine=[], runs=[(1, n)], digests=1, matches=n)
+    editions.archive(folder, "2025-01-10-DO1.zip", ["nada"])
+    go(spark, folder, tables, run_id="a/1 x")
+    assert state(tables) == dict(ledger=["2025-01-10-DO1.zip"], quarantine=[], runs=[(1, 0)], digests=0, matches=0)
+    editions.broken(folder, "2025-01-10-DO1.zip")
+    go(spark, folder, tables, run_id="a/1 x")
+    assert state(tables) == want
+
+
+def test_a_crash_before_the_ledger_duplicates_nothing(spark, folder, tables, monkeypatch):
+    editions.archive(folder, "2025-01-10-DO1.zip", ACTS)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(Tables, "put_processed", crash)
+        with pytest.raises(RuntimeError, match="lost"):
+            go(spark, folder, tables, run_id="a")
+    assert go(spark, folder, tables, run_id="b").files == 1
+    assert stored(tables) == expected(ACTS)
+    assert tables.read("runs").count() == tables.read("digests").count() == 1
+
+
+def test_nothing_is_left_of_the_work_of_a_run(spark, folder, tables, tmp_path):
+    editions.archive(folder, "2025-01-10-DO1.zip", ACTS)
+    go(spark, folder, tables)
+    assert [p for p in (tmp_path / "tables" / "_work").glob("*")] == []
 
 
 def test_signed_pdfs_only_without_an_archive(spark, folder, tables):
@@ -185,6 +234,8 @@ def test_backfill_of_a_range(spark, folder, tables):
     assert {r.email_sent for r in rows} == {0} and tables.read("digests").count() == 0
     assert rows[0].notes == "Sem lookback (backfill), 1 arquivo(s) processado(s)"
     assert go(spark, folder, tables, date(2025, 1, 12)).files == 1  # the ledger is shared
+    again = backfill(spark, files, tables, rules, date(2025, 1, 8), date(2025, 1, 11))
+    assert (again.files, again.matches) == (0, 0) and tables.read("matches").count() == 2 * per_day
     nothing = backfill(spark, files, tables, rules, date(2025, 1, 5), date(2025, 1, 4))
     assert (nothing.files, nothing.matches) == (0, 0)
 
@@ -230,15 +281,43 @@ def test_monitoring_picks_up_new_files_once(spark, folder, tables, tmp_path):
     watch(spark, folder, tables, tmp_path)
     assert stored(tables) == expected(ACTS)
     assert [r.file_name for r in tables.read("quarantine").collect()] == ["2025-01-10-DO2.zip"]
-    watch(spark, folder, tables, tmp_path)
-    assert tables.read("runs").count() == 1
+    watch(spark, folder, tables, tmp_path)  # nothing new: a run row all the same
+    assert sorted(r.files_processed for r in tables.read("runs").collect()) == [0, 1]
     editions.archive(folder, "2025-01-08-DO1E.zip", ACTS)  # a late extra edition
     editions.broken(folder, "2025_01_10_ASSINADO_do1.pdf")  # hidden by the archive seen before
     watch(spark, folder, tables, tmp_path)
-    assert tables.read("runs").count() == 2
+    assert tables.read("runs").count() == 3
     assert stored(tables, "2025-01-08-DO1E.zip") == expected(ACTS)
     assert tables.read("matches").count() == 2 * len(expected(ACTS))
-    assert tables.read("quarantine").count() == 1
+    assert {r.file_name for r in tables.read("quarantine").collect()} == {"2025-01-10-DO2.zip"}
+    editions.archive(folder, "2025-01-10-DO2.zip", [f"{ORG} nomeia"])  # repaired, and tried again
+    watch(spark, folder, tables, tmp_path)
+    assert tables.read("quarantine").count() == 0
+    assert stored(tables, "2025-01-10-DO2.zip") == expected([f"{ORG} nomeia"], "DO2")
+
+
+def test_the_heartbeat_of_a_quiet_morning(spark, folder, tables, tmp_path):
+    morning = datetime(2025, 1, 6, 10, 8, tzinfo=timezone.utc)
+    editions.archive(folder, "2025-01-06-DO1.zip", ["nada"])
+    for n in (1, 2):
+        M.monitor(
+            spark, str(folder), tables, rules_frame(spark, RULES), str(tmp_path / "checkpoint"), clock=lambda: morning
+        )
+        assert tables.read("runs").count() == tables.read("digests").count() == n
+
+
+@pytest.mark.parametrize("size", [1, None])
+def test_the_size_of_batches_changes_nothing(spark, folder, tables, tmp_path, size):
+    editions.broken(folder, "2025_01_10_ASSINADO_do1.pdf")
+    editions.archive(folder, "2025-01-10-DO1.zip", ACTS)
+    editions.broken(folder, "2025_01_09_ASSINADO_do1.pdf")  # hidden by a broken archive
+    editions.broken(folder, "2025-01-09-DO1.zip")
+    pages = [(f"2025_01_{d}_ASSINADO_do1.pdf", i, t) for d in ("09", "10") for i, t in enumerate(ACTS)]
+    text = spark.createDataFrame(pages, "file_name string, page_no long, text string")
+    watch(spark, folder, tables, tmp_path, page_text=text, files_per_batch=size)
+    assert stored(tables) == expected(ACTS)
+    assert [r.file_name for r in tables.read("processed_files").collect()] == ["2025-01-10-DO1.zip"]
+    assert {r.file_name for r in tables.read("quarantine").collect()} == {"2025-01-09-DO1.zip"}
 
 
 def test_a_failed_batch_is_repeated(spark, folder, tables, tmp_path, monkeypatch):
