@@ -219,9 +219,10 @@ ORACLE: dict[str, str] = {
     "strip_markup": f"""SELECT page_id, text FROM (SELECT page_id, {_trim(
         f"regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), {_text(portable(r'\s+'))}, ' ', 'g')"
     )} AS text FROM pages) WHERE text <> ''""",
-    "paged_text_assemble": f"""WITH {_pages} SELECT conv_id, CAST(turn // 1024 AS BIGINT) AS part_no,
-      string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_pages
-      FROM kept GROUP BY ALL""",
+    "paged_text_assemble": f"""WITH {_pages} SELECT conv_id, turn,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+      CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins, text FROM kept""",
     "paged_text_lines": f"""WITH {_pages}, whole AS (
       SELECT conv_id, string_split(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(10)) AS parts
       FROM kept GROUP BY conv_id)
@@ -267,19 +268,15 @@ ORACLE: dict[str, str] = {
       FROM (SELECT DISTINCT secao FROM files)""",
     "digest_numbered": f"""{MATCHES}, {_numbered} SELECT run_date, n, n_matches, filter_name, source_file,
       keyword_hit, heading FROM numbered""",
-    "digest": f"""{MATCHES}, {_numbered}, parts AS (
-      SELECT run_date, n_matches, (n - 1) // 100 AS part_no, string_agg('<hr/><h3>Achado #' || CAST(n AS VARCHAR)
+    "digest": f"""{MATCHES}, {_numbered} SELECT DISTINCT run_date, n_matches,
+      '{Q.PREFIX} ' || CAST(run_date AS VARCHAR) || ' — ' || CAST(n_matches AS VARCHAR) || ' achado(s)' AS subject,
+      '<html><body><h2>{Q.PREFIX} ' || CAST(run_date AS VARCHAR) || '</h2><p><b>Total de achados: '
+        || CAST(n_matches AS VARCHAR) || '</b></p>' AS head,
+      '<hr/><p>Janela de busca: D-2, D-1, D+0 | Seções: DO1, DO2</p></body></html>' AS foot FROM numbered""",
+    "digest_items": f"""{MATCHES}, {_numbered} SELECT run_date, n, '<hr/><h3>Achado #' || CAST(n AS VARCHAR)
         || ' — ' || heading || '</h3><p><b>Filtro:</b> ' || filter_name
         || '</p><p><b>Palavra-chave:</b> <code>' || keyword_hit || '</code></p><p><b>Arquivo fonte:</b> '
-        || source_file || '</p><pre>' || text_snippet || '</pre>', '' ORDER BY n) AS blocks
-      FROM numbered GROUP BY ALL)
-      SELECT run_date, part_no, n_matches,
-        '{Q.PREFIX} ' || CAST(run_date AS VARCHAR) || ' — ' || CAST(n_matches AS VARCHAR) || ' achado(s)' AS subject,
-        CASE WHEN part_no = 0 THEN '<html><body><h2>{Q.PREFIX} ' || CAST(run_date AS VARCHAR)
-          || '</h2><p><b>Total de achados: ' || CAST(n_matches AS VARCHAR) || '</b></p>' ELSE '' END
-        || blocks || CASE WHEN part_no = (n_matches - 1) // 100 THEN
-          '<hr/><p>Janela de busca: D-2, D-1, D+0 | Seções: DO1, DO2</p></body></html>' ELSE '' END AS body
-      FROM parts""",
+        || source_file || '</p><pre>' || text_snippet || '</pre>' AS block FROM numbered""",
     "digest_decision": f"""WITH runs AS (SELECT date_trunc('hour', ts) AS run_ts,
         count(*) FILTER (event_type = 'purchase') AS n_matches FROM events GROUP BY 1),
       due AS (SELECT *, n_matches > 0 OR {_beat} AS emit FROM runs)

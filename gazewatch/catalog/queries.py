@@ -430,7 +430,12 @@ def digest_numbered(spark, folder):
 
 @query
 def digest(spark, folder):
-    return G.digest(_numbered(spark, folder), PREFIX, "DO1, DO2", part_matches=100)
+    return G.digest(_numbered(spark, folder), PREFIX, "DO1, DO2")
+
+
+@query
+def digest_items(spark, folder):
+    return G.digest_items(_numbered(spark, folder))
 
 
 @query

@@ -1,4 +1,4 @@
-"""The digest of a run: numbered matches and one message per run."""
+"""The digest of a run: numbered matches, one message per run and its items."""
 
 from __future__ import annotations
 
@@ -10,10 +10,6 @@ from gazewatch.functions import dates as D
 from gazewatch.operators.acts import WINDOW_TILE
 from gazewatch.operators.numbering import ordered_rank
 
-# Matches per part of a digest body.
-PART_MATCHES = 1000
-
-
 def numbered(matches: DataFrame, run: str = "run_date") -> DataFrame:
     """Number the matches of each run 1, 2, ... by rule, day, file, keyword and line."""
     keyed = matches.withColumn(
@@ -65,23 +61,12 @@ def digest(
     sections: str,
     lookback: int | None = fixed.LOOKBACK_DAYS,
     run: str = "run_date",
-    part_matches: int = PART_MATCHES,
 ) -> DataFrame:
-    """One message per run that has matches.
+    """One message per run that has matches: its subject and what comes before and after its items.
 
-    A message of up to ``part_matches`` matches is one row. A longer one comes in
-    numbered parts that follow each other, head on the first and foot on the last,
-    so a day with any number of matches is reported whole.
+    The items are rows of ``digest_items``, between head and foot in the order of ``n``, so
+    a run with any number of matches has the same shape and no cell grows with it.
     """
-    part = F.floor((F.col("n") - 1) / part_matches)
-    body = F.expr("listagg(_block, '') WITHIN GROUP (ORDER BY n)")
-    parts = (
-        numbered_matches.withColumn("_block", block(F.col("n")))
-        .withColumn("part_no", part)
-        .groupBy(run, "part_no", "n_matches")
-        .agg(body.alias("_body"))
-    )
-    last_part = F.floor((F.col("n_matches") - 1) / part_matches)
     head = F.concat(
         F.lit("<html><body><h2>" + prefix + " "),
         F.col(run).cast("string"),
@@ -89,23 +74,21 @@ def digest(
         F.col("n_matches").cast("string"),
         F.lit("</b></p>"),
     )
-    foot = F.lit(
-        f"<hr/><p>Janela de busca: {window_label(lookback)} | Seções: {sections}</p></body></html>"
-    )
-    none = F.lit("")
-    return parts.select(
+    foot = f"<hr/><p>Janela de busca: {window_label(lookback)} | Seções: {sections}</p></body></html>"
+    return numbered_matches.select(run, "n_matches").distinct().select(
         run,
-        "part_no",
         "n_matches",
         subject(prefix, F.col(run), F.col("n_matches")).alias("subject"),
-        F.concat(
-            F.when(F.col("part_no") == 0, head).otherwise(none),
-            F.col("_body"),
-            F.when(F.col("part_no") == last_part, foot).otherwise(none),
-        ).alias("body"),
+        head.alias("head"),
+        F.lit(foot).alias("foot"),
     )
 
 
+def digest_items(numbered_matches: DataFrame, run: str = "run_date") -> DataFrame:
+    """The block of every match, numbered inside its run."""
+    return numbered_matches.select(run, "n", block(F.col("n")).alias("block"))
+
+
 def window_label(lookback: int | None) -> str:
     return ", ".join(f"D-{i}" for i in range(lookback or 0, 0, -1)) + (
         ", D+0" if lookback else "D+0"

@@ -193,14 +193,17 @@ def finish(
     if outcome.matches and settings.send_digest:
         stored = tables.of_run("matches", outcome.run_id).withColumn("run_date", F.lit(target))
         sections = G.distinct_sections(rules).first()[0]
-        message = G.digest(G.numbered(stored), settings.prefix, sections, settings.lookback)
+        numbered = G.numbered(stored)
+        message = G.digest(numbered, settings.prefix, sections, settings.lookback)
+        items = G.digest_items(numbered)
     else:
+        items = None
         message = summary.where("email_sent = 1").select(
             "run_date",
-            F.lit(0).alias("part_no"),
             F.lit(0).alias("n_matches"),
             G.subject(settings.prefix, F.col("run_date"), n_matches).alias("subject"),
-            G.heartbeat(settings.prefix, F.col("run_date")).alias("body"),
+            G.heartbeat(settings.prefix, F.col("run_date")).alias("head"),
+            F.lit("").alias("foot"),
         )
-    tables.put_digest(message, outcome.run_id)
+    tables.put_digest(message, items, outcome.run_id)
     tables.put_run(summary, outcome.run_id)

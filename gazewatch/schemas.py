@@ -54,5 +54,6 @@ RUNS = _schema(
     "email_sent INT, notes STRING, run_id STRING"
 )
 DIGESTS = _schema(
-    "run_date DATE, part_no BIGINT, n_matches BIGINT, subject STRING, body STRING, run_id STRING"
+    "run_date DATE, n_matches BIGINT, subject STRING, head STRING, foot STRING, run_id STRING"
 )
+DIGEST_ITEMS = _schema("run_date DATE, n BIGINT, block STRING, run_id STRING")

@@ -1,4 +1,4 @@
-"""The stored tables: matches, ledger, quarantine, runs and digests, as Parquet.
+"""The stored tables: matches, ledger, quarantine, runs, digests and their items, as Parquet.
 
 Every table has a folder for each run that wrote it, and a run replaces its whole
 folders, also where it has nothing to write. The ledger comes last and makes the rest
@@ -26,6 +26,7 @@ LAYOUT = {
     "quarantine": (schemas.QUARANTINE, ("run_id",)),
     "runs": (schemas.RUNS, ("run_id",)),
     "digests": (schemas.DIGESTS, ("run_id",)),
+    "digest_items": (schemas.DIGEST_ITEMS, ("run_id",)),
 }
 
 
@@ -85,7 +86,7 @@ class Tables:
 
     def begin(self, run_id: str) -> None:
         """Take back what an earlier try of a run had declared done, the ledger first."""
-        for name in ("processed_files", "runs", "digests"):
+        for name in ("processed_files", "runs", "digests", "digest_items"):
             self._replace(name, self.spark.createDataFrame([], LAYOUT[name][0]), run_id)
 
     def put_matches(self, matches: DataFrame, run_id: str) -> int:
@@ -112,7 +113,10 @@ class Tables:
     def put_run(self, run: DataFrame, run_id: str) -> None:
         self._replace("runs", run.withColumn("run_ts", F.current_timestamp()), run_id)
 
-    def put_digest(self, digest: DataFrame, run_id: str) -> None:
+    def put_digest(self, digest: DataFrame, items: DataFrame | None, run_id: str) -> None:
+        """Store a message and, if it has any, its items; they come first."""
+        if items is not None:
+            self._replace("digest_items", items, run_id)
         self._replace("digests", digest, run_id)
 
 

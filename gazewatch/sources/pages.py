@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazewatch.functions import text as X
@@ -19,21 +19,32 @@ def filled_pages(pages: DataFrame) -> DataFrame:
     return where_present(pages, "text", F.nullif(X.strip(F.col("text")), F.lit("")))
 
 
-def assembled_text(
-    pages: DataFrame, key: str, page: str, pages_per_part: int = PAGE_TILE
-) -> DataFrame:
-    """The text of each file, pages in order with an empty line between them.
+def assembled_text(pages: DataFrame, key: str, page: str) -> DataFrame:
+    """The text of each file in order: its pages with the place where each begins in the whole.
 
-    A file of up to ``pages_per_part`` pages is one row. A longer one comes in
-    parts, to be read one after the other, so no task and no cell ever holds a file
-    of unbounded length.
+    The whole is the stripped pages with an empty line between them; ``begins`` counts
+    characters from its start, so pages are found without building it and no task or cell
+    ever holds a file. Offsets come from lengths, which are added up by tiles of pages.
     """
-    text = F.expr(f"listagg(text, '\\n\\n') WITHIN GROUP (ORDER BY {page})")
+    filled = filled_pages(pages).withColumns(
+        {"_key": F.struct(key), "_tile": F.floor(F.col(page) / PAGE_TILE)}
+    )
+    steps = filled.select("_key", "_tile", page, (F.length("text") + 2).cast("bigint").alias("_n"))
+    tiles = steps.groupBy("_key", "_tile").agg(F.sum("_n").alias("_chars"), F.count(F.lit(1)).alias("_pages"))
+    earlier = Window.partitionBy("_key").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    tiles = tiles.select(
+        "_key", "_tile",
+        F.coalesce(F.sum("_chars").over(earlier), none).alias("_chars_before"),
+        F.coalesce(F.sum("_pages").over(earlier), none).alias("_pages_before"),
+    )
+    within = Window.partitionBy("_key", "_tile").orderBy(page)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        filled_pages(pages)
-        .withColumn("part_no", F.floor(F.col(page) / pages_per_part))
-        .groupBy(key, "part_no")
-        .agg(text.alias("text"), F.count(F.lit(1)).alias("n_pages"))
+        filled.join(tiles, ["_key", "_tile"])
+        .withColumn("begins", F.col("_chars_before") + F.coalesce(F.sum(F.length("text") + 2).over(before), none))
+        .withColumn("n", F.col("_pages_before") + F.row_number().over(within))
+        .select(key, page, F.col("n").cast("bigint").alias("n"), F.col("begins").cast("bigint").alias("begins"), "text")
     )
 
 

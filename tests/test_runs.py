@@ -84,7 +84,9 @@ def test_a_run_from_archives_to_tables(spark, folder, tables):
     assert row.notes == "Lookback: 2 dias, 2 arquivo(s) processado(s)"
     (mail,) = tables.read("digests").collect()
     assert mail.subject == f"[DOU] 2025-01-10 — {outcome.matches} achado(s)"
-    assert mail.body.count("<h3>Achado #") == outcome.matches == mail.n_matches
+    items = tables.read("digest_items").orderBy("n").collect()
+    assert [r.n for r in items] == list(range(1, outcome.matches + 1)) and mail.n_matches == outcome.matches
+    assert all(f"<h3>Achado #{r.n} — " in r.block for r in items)
 
     tables.register()
     ids = with_ids(tables.read("matches"), 40)
@@ -240,7 +242,7 @@ def test_backfill_of_a_range(spark, folder, tables):
     assert (nothing.files, nothing.matches) == (0, 0)
 
 
-def test_digest_in_parts_holds_everything(spark):
+def test_a_digest_holds_everything(spark):
     from gazewatch.operators import digest as G
 
     rows = [
@@ -253,11 +255,9 @@ def test_digest_in_parts_holds_everything(spark):
         "keyword_hit string, line_no long, publication_title string, publication_date string, text_snippet string",
     )
     numbered = G.numbered(frame)
-    whole = G.digest(numbered, "[X]", "DO1").collect()
-    parts = G.digest(numbered, "[X]", "DO1", part_matches=3).orderBy("part_no").collect()
-    assert len(whole) == 1 and len(parts) == 4
-    assert "".join(p.body for p in parts) == whole[0].body
-    body = whole[0].body
+    (message,) = G.digest(numbered, "[X]", "DO1").collect()
+    items = G.digest_items(numbered).orderBy("n").collect()
+    body = message.head + "".join(r.block for r in items) + message.foot
     assert [body.index(f"Achado #{i} ") for i in range(1, 12)] == sorted(
         body.index(f"Achado #{i} ") for i in range(1, 12)
     )

@@ -93,14 +93,18 @@ def test_listing_reads_no_content(spark, tmp_path):
     assert "ReadSchema: struct<path:string>" in plan
 
 
-def test_long_files_are_assembled_in_parts(spark):
-    rows = [("f", i, f" p{i} " if i % 3 else "  ") for i in range(20)] + [("g", 0, "um")]
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_pages_begin_where_the_whole_text_has_them(spark, monkeypatch, tile):
+    monkeypatch.setattr(pages, "PAGE_TILE", tile)
+    rows = [("f", i, f" p{i} " if i % 3 else "  ") for i in range(20)] + [("g", 0, "um"), (None, 1, "a"), (None, 2, "b")]
     frame = spark.createDataFrame(rows, "file string, page int, text string")
-    whole = pages.assembled_text(frame, "file", "page").collect()
-    expected = "\n\n".join(f"p{i}" for i in range(20) if i % 3)
-    assert {r.file: r.text for r in whole} == {"f": expected, "g": "um"}
-    parts = pages.assembled_text(frame, "file", "page", 4).where("file = 'f'").orderBy("part_no")
-    assert "\n\n".join(r.text for r in parts.collect()) == expected
+    got = pages.assembled_text(frame, "file", "page").orderBy("file", "n").collect()
+    for file in ("f", "g", None):
+        own = [r for r in got if r.file == file]
+        whole = "\n\n".join(t.strip() for f, _, t in rows if f == file and t.strip())
+        assert "\n\n".join(r.text for r in own) == whole
+        assert [r.n for r in own] == list(range(1, len(own) + 1))
+        assert all(whole[r.begins :].startswith(r.text) for r in own)
 
 
 def test_pages_with_several_lines(spark, monkeypatch):
