@@ -22,7 +22,7 @@ STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the threshold table. The verdict is one projection beside the row."""
-    return quality.judge(docs.select(*COLUMNS), passed=COLUMNS).where("kept").select(*COLUMNS)
+    return quality.keep(docs.select(*COLUMNS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,6 +135,19 @@ def broken(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows that judge() keeps, with all their columns.
+
+    The filter asks for a row number too, which keeps the verdict in one projection: over
+    plain expressions it would be handed down with every metric written out at each use.
+    """
+    inner = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(name) for c, name in inner.items()])
+    judged = judge(rows, rules, inner[text], tuple(inner.values()))
+    judged = judged.select(*inner.values(), "kept", F.monotonically_increasing_id().alias("_row"))
+    return judged.where("kept AND _row >= 0").select(*[F.col(name).alias(c) for c, name in inner.items()])
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", passed=("doc_id",)) -> DataFrame:
     """The passed columns of every row, its metrics, `base_failed`, `broken` and `kept`.
 

@@ -158,12 +158,33 @@ def test_near_duplicates(spark, docs, rows, percent, width):
 def test_crossing_pairs_in_tiles(spark, monkeypatch):
     """Members of different components meet whatever the number of tiles."""
     monkeypatch.setattr(near_dedup, "TILE", 3)
-    rows = [(7, i, 100, [0] * 16, i % 4) for i in range(20)]
-    df = spark.createDataFrame(rows, "key long, node long, n long, sketch array<long>, root long")
-    got = {(r.a, r.b) for r in near_dedup._cross_pairs(df, 85).collect()}
+    rows = spark.createDataFrame([(7, i, i % 4) for i in range(20)], "key long, node long, root long")
+    nodes = spark.createDataFrame(
+        [(i, 100, [0] * 16, bytearray(64)) for i in range(20)], "node long, n long, sketch array<long>, whole binary"
+    )
+    got = {(r.a, r.b) for r in near_dedup._cross_pairs(rows, nodes, 85).collect()}
     assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 4 != b % 4}
 
 
+def test_set_sketches_never_lose_a_pair():
+    draw = np.random.default_rng(3)
+    for n in (3, 10, 60, 400, 5000):
+        base = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+        for differing in (0, n // 20, n // 12, n // 8, n // 4):
+            other = base.copy()
+            other[:differing] = draw.integers(0, 1 << 63, differing, dtype=np.uint64)
+            other = other[: max(1, n - draw.integers(0, n // 10 + 1))]
+            x, y = np.sort(base), np.sort(other)
+            whole = near_dedup.set_sketches(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]))
+            members = near_dedup.Members(np.array([len(x), len(y)]), np.zeros((2, 16), np.uint64), whole, 85)
+            both = len(np.intersect1d(x, y))
+            similar = 100 * both >= 85 * (len(x) + len(y) - both)
+            passes = len(members.may_link(0, np.array([1]))) > 0
+            assert passes or not similar
+            clearly_not = 100 * both < 80 * (len(x) + len(y) - both)
+            assert not (passes and clearly_not and n >= 60)
+
+
 def test_long_chains_become_one_component(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 999), (1000, 1001)]
     got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
