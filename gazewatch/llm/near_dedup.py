@@ -3,7 +3,9 @@
 Documents with the same set of shingles collapse to one node first. MinHash samples are
 banded: documents that agree in a whole band are candidates. An odd sketch folds the same
 samples into a parity bitmap; the number of ones in the XOR of two sketches tells how many
-samples differ, which sorts out most candidates. The rest are confirmed on their full sets.
+samples differ, which sorts out most candidates. An odd sketch of the whole set, some bits
+for each shingle, then bounds the difference of the sets from below and sorts out nearly all
+that are not similar enough. The rest are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -14,11 +16,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazewatch.llm.blocks import by_group
-from gazewatch.llm.common import checkpointed, slices
+from gazewatch.llm.common import checkpointed, partitions, slices
 from gazewatch.llm.hashing import Prefixes, Words, mixed
 
 SHINGLE = 3
@@ -65,8 +66,27 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def set_sketches(hashes: np.ndarray, limits: np.ndarray) -> list[bytes]:
+    """An odd sketch of each whole set: four to eight bits for each shingle, at least 64."""
+    found = []
+    for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+        bits = max(64, 1 << (4 * (b - a) - 1).bit_length()) if b > a else 64
+        at = (hashes[a:b] & np.uint64(bits - 1)).astype(np.int64)
+        parity = np.bincount(at, minlength=bits).astype(np.uint8) & 1
+        found.append(np.packbits(parity).tobytes())
+    return found
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (one in a row) with fewer bits: halves that fall on each other cancel."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
 def signatures(docs: DataFrame, width: int, bands: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, band keys and odd sketch of every row."""
+    """doc_id, n_shingles, a 128-bit digest of the set, band keys and odd sketches of every row."""
     id_type = docs.schema[doc_id].dataType.simpleString()
     functions, samples = samplers(bands), bands * ROWS
 
@@ -99,13 +119,13 @@ def signatures(docs: DataFrame, width: int, bands: int, doc_id: str, text: str)
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), *map(pa.array, columns),
-                 lists(keys), lists(sketch)],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
+                 lists(keys), lists(sketch), pa.array(set_sketches(hashes, limits), pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch", "whole"],
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(
-        signed, f"doc_id {id_type}, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
+        signed, f"doc_id {id_type}, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>, whole binary"
     )
 
 
@@ -121,27 +141,73 @@ def most_ones(similarity: float) -> int:
     return math.ceil(expected + SLACK * math.sqrt(2 * differing**2 / SKETCH_BITS) + 2)
 
 
-def _ones(left: Column, right: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n
-    )
+class Members:
+    """Sizes and sketches of some sets, to be compared one with many."""
+
+    def __init__(self, n: np.ndarray, sketch: np.ndarray, whole: list[bytes], percent: int):
+        self.n, self.sketch, self.percent, self.limit = n, sketch, percent, most_ones(percent / 100)
+        self.words = np.array([len(w) // 8 for w in whole], dtype=np.int64)
+        self.row = np.zeros(len(n), dtype=np.int64)
+        self.whole = {}
+        for words in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == words)
+            self.row[own] = np.arange(len(own))
+            joined = b"".join([whole[i] for i in own.tolist()])
+            self.whole[words] = np.frombuffer(joined, dtype=np.uint64).reshape(len(own), words)
+
+    def may_link(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of y whose sizes and sketches let them be similar enough to x.
+
+        The set sketches differ in at most as many places as the sets, and of similar
+        enough sets d * (100 + percent) <= (n_x + n_y) * (100 - percent) elements differ.
+        """
+        n, share = self.n, self.percent
+        y = y[100 * np.minimum(n[y], n[x]) >= share * np.maximum(n[y], n[x])]
+        y = y[np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(axis=1) <= self.limit]
+        kept = []
+        for words in np.unique(self.words[y]).tolist():
+            some = y[self.words[y] == words]
+            least = min(words, int(self.words[x]))
+            own = folded(self.whole[int(self.words[x])][self.row[x]][None, :], least)
+            others = folded(self.whole[words][self.row[some]], least)
+            ones = np.bitwise_count(own ^ others).sum(axis=1).astype(np.int64)
+            kept.append(some[ones * (100 + share) <= (n[some] + n[x]) * (100 - share)])
+        return np.concatenate(kept) if kept else y[:0]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
 
 
 def _sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose set sizes and sketches let them be similar enough."""
-    side = lambda s: nodes.select(
-        F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")
-    )
+    names = ("n", "sketch", "whole")
+    side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names])
+
+    def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = lambda c: (batch.column(f"{c}_a"), batch.column(f"{c}_b"))
+            k = batch.num_rows
+            members = Members(
+                np.concatenate([c.to_numpy() for c in both("n")]),
+                np.concatenate([_matrix(c) for c in both("sketch")]),
+                [w for c in both("whole") for w in c.to_pylist()],
+                percent,
+            )
+            kept = [len(members.may_link(i, np.array([k + i]))) > 0 for i in range(k)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.where(
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (_ones(F.col("sketch_a"), F.col("sketch_b")) <= most_ones(percent / 100))
-    ).select("a", "b")
+    columns = ["a", "b", *[f"{c}_{s}" for s in "ab" for c in names]]
+    return met.select(*columns).mapInArrow(sift, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs with 100 * |intersection| >= percent * |union| on their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
@@ -199,40 +265,38 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpointed(small.distinct())
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in one bucket whose sizes and sketches agree.
 
-    `rows` has key, node, n, sketch and root. A bucket of any size is cut into tiles of
-    members; every two tiles meet in one group, which holds two tiles at most.
+    `rows` has key, node and root. A bucket of any size is cut into tiles of members; every
+    two tiles meet in one group, which holds two tiles at most. Only pairs that pass the
+    bound of the set sketches come out, and these are nearly all similar enough.
     """
-    limit = most_ones(percent / 100)
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = (
         rows.join(sizes, "key")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            "own", "node", "n", "sketch", "root",
-        )
-    )
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+        .join(nodes.select("node", "n", "sketch", "whole"), "node")
+        # By tiles, not by key alone, so that a large bucket is many tasks' work.
+        .repartition(partitions(rows.sparkSession), "key", "i", "j")
+    )
 
     def compare(group: pa.Table) -> pa.Table:
-        get = lambda c: group.column(c).to_numpy()
-        node, n, root, own = get("node"), get("n"), get("root"), get("own")
+        node, root, own, n = [group.column(c).to_numpy() for c in ("node", "root", "own", "n")]
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        members = Members(n, _matrix(group.column("sketch")), group.column("whole").to_pylist(), percent)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
+        found = [np.zeros((0, 2), dtype=np.int64)]
         for x in left.tolist():
             y = right[(root[right] != root[x]) & ((node[right] > node[x]) | (i != j))]
-            low, high = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-            y = y[100 * low >= percent * high]
-            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= limit]
-            found.append(np.stack((np.full(len(y), node[x]), node[y]), axis=1))
-        found = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), dtype=np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+            y = members.may_link(x, y) if len(y) else y
+            if len(y):
+                found.append(np.stack((np.full(len(y), node[x]), node[y]), axis=1))
+        pairs = np.sort(np.concatenate(found), axis=1)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -256,10 +320,12 @@ def near_duplicates(
     valid = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("node", F.col("doc_id").cast("long"))
     classes = checkpointed(valid.groupBy("d1", "d2").agg(F.min("node").alias("node")))
     nodes = valid.join(classes, ["d1", "d2", "node"], "left_semi")
-    nodes = nodes.select("node", F.col("n_shingles").alias("n"), "sketch", "bands")
+    nodes = nodes.select("node", F.col("n_shingles").alias("n"), "sketch", "whole", "bands")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
-    stars = buckets.join(leaders.select("key", "a"), "key").where("node != a").select("a", F.col("node").alias("b"))
+    # What is left are buckets of several nodes; the sketches wait until they are needed.
+    shared = checkpointed(buckets.join(leaders.select("key", "a"), "key").select("key", "node", "a"))
+    stars = shared.where("node != a").select("a", F.col("node").alias("b"))
     # Rows of one doc_id with different texts are one node.
     same = valid.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").select("node")
     same = valid.join(same, "node", "left_semi")
@@ -267,10 +333,10 @@ def near_duplicates(
     tested = checkpointed(_sift(stars.distinct(), nodes, percent))
     links = checkpointed(_confirm(tested, docs, width, percent, doc_id, text).union(same.where("a != b")))
     first = components(links)
-    placed = nodes.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = placed.select("node", "root", "n", "sketch", F.explode("bands").alias("key"))
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    crossing = _cross_pairs(rows.join(open_keys.select("key"), "key"), percent)
+    placed = shared.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = checkpointed(placed)
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    crossing = _cross_pairs(placed.join(open_keys.select("key"), "key"), nodes, percent)
     untested = checkpointed(crossing.join(tested, ["a", "b"], "left_anti"))
     more = _confirm(untested, docs, width, percent, doc_id, text)
     roots = components(links.union(more))
