@@ -25,7 +25,7 @@ RULES = _schema(
 LISTING = _schema("edition_date DATE, body STRING")
 FILES = _schema("file_name STRING, secao STRING, edition_date DATE, path STRING")
 ENTRY_INDEX = _schema(
-    "file_name STRING, secao STRING, edition_date DATE, path STRING, entry_no BIGINT, err STRING"
+    "file_name STRING, secao STRING, edition_date DATE, path STRING, entry_no BIGINT, part BIGINT, err STRING"
 )
 ENTRIES = _schema(
     "file_name STRING, secao STRING, edition_date DATE, entry_no BIGINT, xml STRING, err STRING"

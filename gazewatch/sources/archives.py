@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from gazewatch import schemas
 from gazewatch.functions import text as X
 
-# Members read in one go by a task.
-MEMBERS_PER_GROUP = 64
+# Unpacked members of so many bytes are read in one go by a task, and handed on together.
+PART_BYTES = 8 << 20
 
 
 def open_seekable(path: str):
@@ -39,58 +39,69 @@ def _error(problem: Exception) -> str:
 
 
 def _table(rows: list[tuple], schema) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=schema.names).astype({"entry_no": "Int64"})
+    whole = {f.name: "Int64" for f in schema.fields if f.dataType.typeName() == "long"}
+    return pd.DataFrame(rows, columns=schema.names).astype(whole)
 
 
-def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_members(batches: Iterator[pd.DataFrame], part_bytes: int) -> Iterator[pd.DataFrame]:
+    """Members with the part of their archive that they belong to, by their sizes."""
     for batch in batches:
         for file in batch.itertuples(index=False):
             head = (file.file_name, file.secao, file.edition_date, file.path)
+            rows, size = [], 0
             try:
                 with open_seekable(file.path) as raw, zipfile.ZipFile(raw) as archive:
-                    names = archive.namelist()
-                rows = [
-                    (*head, i, None) for i, name in enumerate(names) if name.lower().endswith(".xml")
-                ]
+                    for i, member in enumerate(archive.infolist()):
+                        if member.filename.lower().endswith(".xml"):
+                            rows.append((*head, i, size // part_bytes, None))
+                            size += member.file_size
             except Exception as problem:  # a bad file must not stop the others
-                rows = [(*head, None, _error(problem))]
+                rows = [(*head, None, None, _error(problem))]
             yield _table(rows, schemas.ENTRY_INDEX)
 
 
-def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_members(batches: Iterator[pd.DataFrame], part_bytes: int) -> Iterator[pd.DataFrame]:
+    """The members' content. Files that could not be listed pass through with their error."""
     for batch in batches:
-        rows = batch.itertuples(index=False)
+        out, held = [], 0
+        rows = batch.astype({"err": object}).itertuples(index=False)
         for (name, secao, day, path), wanted in groupby(rows, key=lambda r: tuple(r)[:4]):
-            head = (name, secao, day)
+            head, wanted = (name, secao, day), list(wanted)
+            if isinstance(wanted[0].err, str):
+                out.append((*head, None, None, wanted[0].err))
+                continue
             try:
                 with open_seekable(path) as raw, zipfile.ZipFile(raw) as archive:
                     members = archive.infolist()
                     for row in wanted:
-                        xml = archive.read(members[row.entry_no]).decode("utf-8", errors="ignore")
-                        yield _table([(*head, row.entry_no, xml, None)], schemas.ENTRIES)
+                        xml = archive.read(members[int(row.entry_no)]).decode("utf-8", errors="ignore")
+                        out.append((*head, row.entry_no, xml, None))
+                        held += len(xml)
+                        if held >= part_bytes:
+                            yield _table(out, schemas.ENTRIES)
+                            out, held = [], 0
             except Exception as problem:
-                yield _table([(*head, None, None, _error(problem))], schemas.ENTRIES)
+                out.append((*head, None, None, _error(problem)))
+        if out:
+            yield _table(out, schemas.ENTRIES)
 
 
-def archive_entries(files: DataFrame, tasks: int | None = None) -> DataFrame:
+def archive_entries(files: DataFrame, tasks: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per XML member of each archive; a file that cannot be read gives an ``err`` row.
 
-    Members stay in groups of neighbours that share one opening of the file. The
-    number of tasks is given outright: names are tiny and would be merged into one
-    partition by their size, but the work behind each is large.
+    Every directory is read once. Neighbouring members of ``part_bytes`` stay together and share
+    one opening of the file. The number of tasks is given outright: names are tiny and would
+    be merged into one partition by their size, but the work behind each is large.
     """
     tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     archives = files.where(F.endswith(F.col("file_name"), F.lit(".zip"))).select(
         "file_name", "secao", "edition_date", "path"
     )
-    index = archives.repartition(tasks, "path").mapInPandas(_list_members, schemas.ENTRY_INDEX)
-    group = F.floor(F.col("entry_no") / MEMBERS_PER_GROUP)
-    spread = index.repartition(tasks, "path", group).sortWithinPartitions("path", "entry_no")
-    readable = spread.where("err IS NULL").mapInPandas(_read_members, schemas.ENTRIES)
-    broken = index.where("err IS NOT NULL").select(
-        "file_name", "secao", "edition_date", "entry_no", F.lit(None).cast("string"), "err"
+    index = archives.repartition(tasks, "path").mapInPandas(
+        lambda batches: _list_members(batches, part_bytes), schemas.ENTRY_INDEX
     )
-    return readable.union(broken)
+    spread = index.repartition(tasks, "path", "part").sortWithinPartitions("path", "entry_no")
+    return spread.mapInPandas(lambda batches: _read_members(batches, part_bytes), schemas.ENTRIES)
 
 
 def entry_pages(entries: DataFrame) -> DataFrame:

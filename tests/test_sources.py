@@ -31,7 +31,7 @@ def test_members_of_a_large_archive_are_spread(spark, tmp_path, monkeypatch):
     texts = [f"ato {i}" for i in range(300)]
     editions.archive(tmp_path, "2025-01-10-DO1.zip", texts)
     monkeypatch.setattr(pages, "PAGE_TILE", 16)
-    entries = archives.archive_entries(listing.stored_files(spark, str(tmp_path)))
+    entries = archives.archive_entries(listing.stored_files(spark, str(tmp_path)), part_bytes=500)
     parts = entries.select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
     lines = pages.page_lines(archives.entry_pages(entries).drop("err")).orderBy("line_no")
@@ -52,6 +52,13 @@ def test_broken_archives_give_an_error_row(spark, tmp_path):
     assert any(r.err.startswith("BadZipFile") for r in rows if r.err)
 
 
+def test_directories_are_read_once(spark, tmp_path):
+    editions.archive(tmp_path, "2025-01-10-DO1.zip", ["a"])
+    entries = archives.archive_entries(listing.stored_files(spark, str(tmp_path)))
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and "Union" not in plan
+
+
 def test_listing_patterns(spark):
     body = """<a>2025-01-10-DO1.zip</a> 2025-01-10-DO1E.zip 2025-01-10-DO2.zip
       2025_01_10_ASSINADO_do1.pdf 2025_01_10_ASSINADO_do1_extra_A.pdf 2025-01-10-DO1.zip
