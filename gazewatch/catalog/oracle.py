@@ -270,12 +270,12 @@ ORACLE: dict[str, str] = {
       keyword_hit, heading FROM numbered""",
     "digest": f"""{MATCHES}, {_numbered} SELECT DISTINCT run_date, n_matches,
       '{Q.PREFIX} ' || CAST(run_date AS VARCHAR) || ' — ' || CAST(n_matches AS VARCHAR) || ' achado(s)' AS subject,
-      '<html><body><h2>{Q.PREFIX} ' || CAST(run_date AS VARCHAR) || '</h2><p><b>Total de achados: '
+      '<html><body><h2>{Q.PREFIX} ' || CAST(run_date AS VARCHAR) || '</h2><p><b>{fixed.TOTAL_LABEL} '
         || CAST(n_matches AS VARCHAR) || '</b></p>' AS head,
-      '<hr/><p>Janela de busca: D-2, D-1, D+0 | Seções: DO1, DO2</p></body></html>' AS foot FROM numbered""",
-    "digest_items": f"""{MATCHES}, {_numbered} SELECT run_date, n, '<hr/><h3>Achado #' || CAST(n AS VARCHAR)
-        || ' — ' || heading || '</h3><p><b>Filtro:</b> ' || filter_name
-        || '</p><p><b>Palavra-chave:</b> <code>' || keyword_hit || '</code></p><p><b>Arquivo fonte:</b> '
+      '<hr/><p>{fixed.WINDOW_LABEL} D-2, D-1, D+0 | Seções: DO1, DO2</p></body></html>' AS foot FROM numbered""",
+    "digest_items": f"""{MATCHES}, {_numbered} SELECT run_date, n, '<hr/><h3>{fixed.ITEM_LABEL}' || CAST(n AS VARCHAR)
+        || ' — ' || heading || '</h3><p><b>{fixed.FILTER_LABEL}</b> ' || filter_name
+        || '</p><p><b>{fixed.KEYWORD_LABEL}</b> <code>' || keyword_hit || '</code></p><p><b>{fixed.SOURCE_LABEL}</b> '
         || source_file || '</p><pre>' || text_snippet || '</pre>' AS block FROM numbered""",
     "digest_decision": f"""WITH runs AS (SELECT date_trunc('hour', ts) AS run_ts,
         count(*) FILTER (event_type = 'purchase') AS n_matches FROM events GROUP BY 1),

@@ -51,6 +51,12 @@ HEARTBEAT_HOURS = (9, 11)  # UTC, Monday to Friday, end excluded
 
 # Digest labels.
 NO_TITLE_LABEL = "Sem título identificado"
+ITEM_LABEL = "Achado #"
+FILTER_LABEL = "Filtro:"
+KEYWORD_LABEL = "Palavra-chave:"
+SOURCE_LABEL = "Arquivo fonte:"
+TOTAL_LABEL = "Total de achados:"
+WINDOW_LABEL = "Janela de busca:"
 HEARTBEAT_LABEL = "Sistema operacional"
 NO_MATCH_LABEL = "Nenhuma publicação encontrada com os critérios de busca."
 

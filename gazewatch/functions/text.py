@@ -87,11 +87,6 @@ def title_date(title_text: Column) -> Column:
     return F.regexp_extract(title_text, _literal(fixed.DATE_PHRASE), 1)
 
 
-def slice_lines(lines: Column, start: Column, end: Column) -> Column:
-    """Lines ``start`` to ``end - 1`` of an array of lines as one stripped text."""
-    return strip(F.array_join(F.slice(lines, start + 1, end - start), "\n"))
-
-
 def snippet(full_text: Column, chars: int = fixed.SNIPPET_CHARS) -> Column:
     return F.substring(full_text, 1, chars)
 

@@ -27,15 +27,15 @@ def heading(title: Column, day: Column) -> Column:
 def block(n: Column) -> Column:
     """HTML for one match."""
     return F.concat(
-        F.lit("<hr/><h3>Achado #"),
+        F.lit(f"<hr/><h3>{fixed.ITEM_LABEL}"),
         n.cast("string"),
         F.lit(" — "),
         heading(F.col("publication_title"), F.col("publication_date")),
-        F.lit("</h3><p><b>Filtro:</b> "),
+        F.lit(f"</h3><p><b>{fixed.FILTER_LABEL}</b> "),
         F.col("filter_name"),
-        F.lit("</p><p><b>Palavra-chave:</b> <code>"),
+        F.lit(f"</p><p><b>{fixed.KEYWORD_LABEL}</b> <code>"),
         F.col("keyword_hit"),
-        F.lit("</code></p><p><b>Arquivo fonte:</b> "),
+        F.lit(f"</code></p><p><b>{fixed.SOURCE_LABEL}</b> "),
         F.col("source_file"),
         F.lit("</p><pre>"),
         F.col("text_snippet"),
@@ -70,11 +70,11 @@ def digest(
     head = F.concat(
         F.lit("<html><body><h2>" + prefix + " "),
         F.col(run).cast("string"),
-        F.lit("</h2><p><b>Total de achados: "),
+        F.lit(f"</h2><p><b>{fixed.TOTAL_LABEL} "),
         F.col("n_matches").cast("string"),
         F.lit("</b></p>"),
     )
-    foot = f"<hr/><p>Janela de busca: {window_label(lookback)} | Seções: {sections}</p></body></html>"
+    foot = f"<hr/><p>{fixed.WINDOW_LABEL} {window_label(lookback)} | Seções: {sections}</p></body></html>"
     return numbered_matches.select(run, "n_matches").distinct().select(
         run,
         "n_matches",

@@ -70,10 +70,6 @@ def keywords(rules: DataFrame) -> DataFrame:
     )
 
 
-def sections(rules: DataFrame) -> DataFrame:
-    return rules.select("secao").distinct()
-
-
 def rule_dates(rules: DataFrame, targets: DataFrame, lookback: int) -> DataFrame:
     """The work list of runs: for every rule and target day of its section the days to check.
 
