@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazewatch.llm.common import partitions
+from gazewatch.llm.common import give_back, partitions
 
 #: Blocks for each shuffle partition: a task takes them one after the other.
 BLOCKS_PER_PARTITION = 4
@@ -57,6 +57,7 @@ def joined(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    give_back()
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

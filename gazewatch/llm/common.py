@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -37,6 +38,16 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[
             held += length
         if start < batch.num_rows:
             yield batch.slice(start)
+        give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, so that a worker between tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library that does so by itself
+        pass
 
 
 def partitions(spark: SparkSession) -> int:

@@ -39,9 +39,9 @@ class PieceMemo:
     Beyond `bound` pieces it starts anew, so its memory does not grow with the input.
     """
 
-    BITS = 21
+    BITS = 20
 
-    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bound: int = 1_000_000):
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bound: int = 500_000):
         self.compute, self.bound = compute, min(bound, 1 << (self.BITS - 1))
         self._clear()
 

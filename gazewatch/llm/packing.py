@@ -19,9 +19,9 @@ WINDOW = 1024
 END_ID = 0
 #: Unknown pieces that go to the library as one text.
 JOINED = 500
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 #: A shard of the index holds so many tokens or documents at most (or one document).
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_500_000
 SHARD_DOCS = 2_048
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75

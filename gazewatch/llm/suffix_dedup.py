@@ -26,7 +26,7 @@ K = 64
 #: Starts of strings that one pass of the hashing kernel covers.
 PART = 250_000
 #: A shard sorts the suffixes of so many bytes at a time.
-SORTED_BYTES = 2_000_000
+SORTED_BYTES = 500_000
 #: Anchors with more segments than this go by their single strings instead.
 HOT_SEGMENTS = 4096
 
