@@ -20,7 +20,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazewatch.llm.common import slices
+from gazewatch.functions.sizing import fits_broadcast
+from gazewatch.llm.common import checkpointed, slices
 from gazewatch.llm.hashing import mixed
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -128,6 +129,16 @@ def host_priors(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     return joined.crossJoin(F.broadcast(everything))  # one row
 
 
+def sized(priors: DataFrame) -> DataFrame:
+    """The priors, worked out once; a table within the broadcast limits goes to every executor.
+
+    Rows and bytes are counted first. Larger tables are joined by host, where Spark splits
+    the rows of a very common one among tasks; the rows that come out are the same.
+    """
+    priors = checkpointed(priors)
+    return F.broadcast(priors) if fits_broadcast(priors) else priors
+
+
 def posterior(scored: DataFrame, priors: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """scored with language, probability and kept."""
     n = len(languages)
@@ -184,7 +195,7 @@ def identify(
         F.coalesce(text, F.lit("")).alias("text"),
     )
     model = log_likelihoods(plain, languages)
-    priors = host_priors(plain, languages)
+    priors = sized(host_priors(plain, languages))
     return posterior(_scored(plain, model, languages), priors, languages)
 
 
@@ -196,9 +207,7 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """The rows of `documents`, with all their columns, whose language identify() keeps.
 
-    The scores are put beside the whole rows, which pass by in their scan. The priors are
-    joined by source; Spark broadcasts them where their measured size allows it, and else
-    splits a source's rows among tasks.
+    The scores are put beside the whole rows, which pass by in their scan.
     """
     inner = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(
@@ -209,7 +218,7 @@ def keep_identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) ->
     plain = rows.select("declared", "host", "suffix", "text")
     model = log_likelihoods(plain, languages)
     scored = _scored(rows, model, languages)
-    judged = posterior(scored, host_priors(plain, languages), languages)
+    judged = posterior(scored, sized(host_priors(plain, languages)), languages)
     return judged.where("kept").select(*[F.col(name).alias(c) for c, name in inner.items()])
 
 
