@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazewatch.llm.common import slices
+from gazewatch.llm.common import checkpoint_folder, partitions, slices
 from gazewatch.llm.memo import PieceMemo, by_text, laid_out, white_space
 
 WINDOW = 1024
@@ -20,9 +21,15 @@ END_ID = 0
 #: Unknown pieces that go to the library as one text.
 JOINED = 500
 BATCH_BYTES = 500_000
-#: A shard of the index holds so many tokens or documents at most (or one document).
+#: A shard of the index holds about so many tokens or documents; beyond SLACK times as many
+#: a further index begins.
 SHARD_TOKENS = 1_500_000
 SHARD_DOCS = 2_048
+SLACK = 1.5
+#: Documents sampled for each shard to find where shards begin, and in all at most.
+SAMPLED, MOST_SAMPLED = 64, 1_000_000
+#: A document is dealt by so many of its rarest terms.
+DEALT_BY = 3
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
@@ -101,10 +108,17 @@ def byte_encoder(path: str) -> ByteEncoder:
     return _ENCODERS[path]
 
 
+def inverse_frequency(n: int, frequency: np.ndarray) -> np.ndarray:
+    return np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+
+
 class Shard:
-    """A BM25 inverted index over token ids of one shard's documents."""
+    """A BM25 inverted index over token ids of one shard's documents.
+
+    `idf` (by token id) and `mean` length are those of the corpus, else those of the shard.
+    """
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None):
         n = len(docs)
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
@@ -117,8 +131,8 @@ class Shard:
         ends = np.append(starts[1:], len(keys))
         self.ends, self.starts, self.n = ends, starts, n
         frequency = ends - starts
-        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
+        idf = inverse_frequency(n, frequency) if idf is None else idf[terms[starts]]
+        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if mean is None else mean))
         term = np.repeat(np.arange(len(starts)), frequency)
         self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.doc])
         # Each document's query: its rarest terms that some other document has too.
@@ -139,12 +153,15 @@ class Shard:
         return found[np.lexsort((found, -scores[found]))]
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def pack_shard(
+    docs: list[np.ndarray], window: int, idf: np.ndarray | None = None, mean: float | None = None
+) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length) that hold each id exactly once.
 
     Whole windows of a document stand alone. Its rest is a seed, or fills a seed's window
     as a neighbour; the neighbour that does not fit is cut, and what is left of it is the
-    next seed. The last rest is written in sequences of power-of-two lengths.
+    next seed. Neighbours are told by all ids of the documents, not by those of their rests.
+    The last rest is written in sequences of power-of-two lengths.
     """
     rest = np.array([len(d) % window for d in docs])
     for i, d in enumerate(docs):
@@ -153,7 +170,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[list[tuple[int,
     tails = np.flatnonzero(rest)
     if not len(tails):
         return
-    index = Shard([docs[i][len(docs[i]) - rest[i] :] for i in tails])
+    index = Shard([docs[i] for i in tails], idf, mean)
     unused, begin = np.ones(len(tails), dtype=bool), [len(docs[i]) - rest[i] for i in tails]
     left = [int(rest[i]) for i in tails]
     seed, order, turn = 0, iter(range(len(tails))), []
@@ -207,30 +224,143 @@ def powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
             yield turn
 
 
+def encoded(docs: DataFrame, vocabulary: str, doc_id: str, text: str) -> DataFrame:
+    """row, doc_id, n_tokens and ids of every row, in 2 bytes an id where the vocabulary allows."""
+    id_type = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = byte_encoder(vocabulary)
+        kind = "<u2" if work.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        row = TaskContext.get().partitionId() << 33
+        for batch in slices(batches, "text", BATCH_BYTES):
+            found = work.encode(batch.column("text").fill_null("").cast(pa.binary()).to_pylist())
+            rows = pa.array(range(row, row + len(found)), pa.int64())
+            row += len(found)
+            sizes = pa.array([len(ids) + 1 for ids in found], pa.int64())
+            ids = pa.array([np.append(ids, END_ID).astype(kind).tobytes() for ids in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), sizes, ids], names=["row", "doc_id", "n_tokens", "ids"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, ids binary")
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch's rows, one after the other, and how many each has."""
+    sizes = batch.column("n_tokens").to_numpy()
+    whole = b"".join(batch.column("ids").to_pylist())
+    return np.frombuffer(whole, dtype=f"<u{len(whole) // max(1, int(sizes.sum()))}"), sizes
+
+
+def document_frequencies(docs: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Over all encoded rows: how many, how many tokens, and in how many rows each id is.
+
+    Each task counts first; one sum for each id of the vocabulary reaches the driver.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, tokens, held = 0, 0, np.zeros(0, dtype=np.int64)
+        for batch in slices(batches, "ids", BATCH_BYTES):
+            ids, sizes = _ids(batch)
+            keys = np.sort(np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(32), sizes) | ids)
+            own = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] & np.uint64(0xFFFFFFFF)
+            counts = np.bincount(own.astype(np.int64), minlength=len(held))
+            counts[: len(held)] += held
+            n, tokens, held = n + len(sizes), tokens + int(sizes.sum()), counts
+        terms = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(terms, [-1, -2])), pa.array(np.append(held[terms], [n, tokens]))], names=["term", "n"]
+        )
+
+    counts = docs.select("n_tokens", "ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r["term"]: r["n"] for r in counts.collect()}
+    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    frequency = np.zeros(max(found, default=0) + 1, dtype=np.int64)
+    frequency[list(found)] = list(found.values())
+    return n, tokens, frequency
+
+
+def places(batch: pa.RecordBatch, rank: np.ndarray) -> np.ndarray:
+    """Where rows stand in the order of their rarest shared terms, and by chance among equals.
+
+    `rank` has the rank of each id, the rarest first, and len(rank) for ids of one row only.
+    """
+    ids, sizes = _ids(batch)
+    bits, starts = len(rank).bit_length(), np.cumsum(sizes) - sizes
+    ranks, place = rank[ids], np.zeros(len(sizes), dtype=np.int64)
+    for _ in range(DEALT_BY):
+        least = np.minimum.reduceat(ranks, starts)
+        place = (place << bits) | least
+        ranks[ranks == np.repeat(least, sizes)] = len(rank)
+    chance = 63 - DEALT_BY * bits
+    row = batch.column("row").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (place << chance) | (row >> np.uint64(64 - chance)).astype(np.int64)
+
+
+def shard_limits(docs: DataFrame, n: int, tokens: int, rank: np.ndarray) -> np.ndarray:
+    """The places at which shards after the first begin, from a sample of bounded size."""
+    shards = max(1, -(-n // SHARD_DOCS), -(-tokens // SHARD_TOKENS))
+    share = min(1.0, min(SAMPLED * shards, MOST_SAMPLED) / max(1, n))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids", BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(places(batch, rank)), batch.column("n_tokens")], names=["place", "n"])
+
+    rows = docs.select("row", "n_tokens", "ids")
+    rows = rows.sample(share, seed=1) if share < 1 else rows
+    found = sorted((r["place"], r["n"]) for r in rows.mapInArrow(run, "place long, n long").collect())
+    weight = np.cumsum([max(1 / SHARD_DOCS, size / SHARD_TOKENS) for _, size in found])
+    if not len(found):
+        return np.zeros(0, dtype=np.int64)
+    # The sample's weight, spread over as many shards as the whole has room for.
+    shards = max(1, round(float(weight[-1]) / share + 0.5))
+    cuts = np.searchsorted(weight, weight[-1] * np.arange(1, shards) / shards)
+    return np.unique(np.array([place for place, _ in found], dtype=np.int64)[cuts])
+
+
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text (null: none) and a closing id 0. `ids` holds a
-    piece's ids as little-endian unsigned 32-bit numbers. One narrow stage: every scan
-    partition is indexed in shards of bounded size, so no text is shuffled and a hot
-    source is just more shards. Sequences never cross shards; sequence_id is the
-    partition's number times 2**33 plus a count. Rows with null or repeated ids are packed
-    like all others.
+    piece's ids as little-endian unsigned 32-bit numbers. Texts are encoded once and their
+    ids written to the shared folder. Document frequencies and mean length are those of all
+    rows. Rows are ordered by their rarest terms that some other row has too, and shards are
+    runs of that order, so rows of one content meet wherever they were stored; equal rows
+    are told apart by chance, and many of them are just more shards. Sequences never cross
+    shards; sequence_id is the shard's number times 2**33 plus a count. Rows with null or
+    repeated ids are packed like all others.
     """
+    spark = docs.sparkSession
+    path = f"{checkpoint_folder(spark)}/packing-{uuid.uuid4()}"
+    encoded(docs, vocabulary, doc_id, text).write.option("compression", "zstd").parquet(path)
+    staged = spark.read.parquet(path)
+    n, tokens, frequency = document_frequencies(staged)
+    idf, mean = inverse_frequency(n, frequency), tokens / max(1, n)
+    shared = np.flatnonzero(frequency > 1)
+    rank = np.full(len(frequency), len(frequency), dtype=np.int64)
+    rank[shared[np.argsort(frequency[shared], kind="stable")]] = np.arange(len(shared))
+    limits = shard_limits(staged, n, tokens, rank)
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids", BATCH_BYTES):
+            place = places(batch, rank)
+            shard = pa.array(np.searchsorted(limits, place, side="right"))
+            columns = [shard, pa.array(place), *batch.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "place", *batch.schema.names])
+
     id_type = docs.schema[doc_id].dataType.simpleString()
+    rows = staged.select("row", "doc_id", "n_tokens", "ids")
+    rows = rows.mapInArrow(dealt, f"shard long, place long, row long, doc_id {id_type}, n_tokens long, ids binary")
+    rows = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "place", "row")
     schema = f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = byte_encoder(vocabulary)
-        closing = np.array([END_ID], dtype=np.uint32)
-        number = TaskContext.get().partitionId() << 33
-        held, owners, tokens = [], [], 0
+        held, owners, tokens, shard, number = [], [], 0, None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, owners, tokens, number
             rows, size = [], 0
-            for sequence in pack_shard(held, window):
+            for sequence in pack_shard(held, window, idf, mean):
                 offset = 0
                 for doc, start, length in sequence:
                     ids = held[doc][start : start + length].astype("<u4").tobytes()
@@ -251,17 +381,20 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, doc_id: str = "
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         id_kind = None
-        for batch in slices(batches, "text", BATCH_BYTES):
+        for batch in slices(batches, "ids", BATCH_BYTES):
             id_kind = batch.schema.field("doc_id").type
-            texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
-            for owner, ids in zip(batch.column("doc_id").to_pylist(), work.encode(texts), strict=True):
-                held.append(np.concatenate((ids, closing)))
-                owners.append(owner)
-                tokens += len(held[-1])
-                if tokens >= SHARD_TOKENS or len(held) >= SHARD_DOCS:
+            ids, sizes = _ids(batch)
+            own = np.split(ids, np.cumsum(sizes)[:-1])
+            for at, owner, doc in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), own, strict=True):
+                full = tokens >= SLACK * SHARD_TOKENS or len(held) >= SLACK * SHARD_DOCS
+                if held and (at != shard or full):
                     yield from flush()
+                if at != shard:
+                    shard, number = at, at << 33
+                held.append(doc.astype(np.uint32))
+                owners.append(owner)
+                tokens += len(doc)
         if held:
             yield from flush()
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(packed, schema)
+    return rows.select("shard", "doc_id", "n_tokens", "ids").mapInArrow(packed, schema)

@@ -172,6 +172,37 @@ def test_neighbours_share_rare_terms():
     assert 11 not in index.neighbours(3, unused)
 
 
+def test_neighbours_meet_wherever_they_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    path = vocabulary("byte_bpe_50k.json")
+    words = [w[1:] for w in sorted(library_of("byte_bpe_50k.json").get_vocab()) if w[0] == "Ġ" and w[1:].isascii() and len(w) > 8]
+    # 50 topics of four rows each, spread over eight partitions.
+    rows = [(i, f"the house and the {words[i % 50 * 9]} of {words[i % 50 * 9 + 4]} {i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    shards = {p.doc_id: p.sequence_id >> 33 for p in packing.pack(df, path, window=32).collect()}
+    assert len(set(shards.values())) >= 8 and max(Counter(shards.values()).values()) <= 40
+    pairs = [(i, j) for i in range(200) for j in range(i + 50, 200, 50)]
+    assert sum(shards[i] == shards[j] for i, j in pairs) >= 0.8 * len(pairs)
+
+
+def test_statistics_are_those_of_all_rows(spark, docs, rows, no_docs):
+    path = vocabulary("byte_bpe_50k.json")
+    found = library_of("byte_bpe_50k.json").encode_batch([t or "" for _, t in rows], add_special_tokens=False)
+    want = Counter(i for e in found for i in {*e.ids, 0})
+    n, tokens, frequency = packing.document_frequencies(packing.encoded(docs.repartition(6), path, "doc_id", "text"))
+    assert (n, tokens) == (len(rows), sum(len(e.ids) + 1 for e in found))
+    assert {int(i): int(frequency[i]) for i in np.flatnonzero(frequency)} == want
+    assert packing.document_frequencies(packing.encoded(no_docs, path, "doc_id", "text"))[:2] == (0, 0)
+
+
+def test_whole_windows_take_part_in_retrieval():
+    # Documents 0 and 3 have only the terms of their first window in common.
+    docs = [[900] * 8 + [1, 2, 3, 4], [5] * 6, [6] * 6, [900] * 8 + [7, 8, 9, 10]]
+    packed = list(packing.pack_shard([np.array(d, dtype=np.uint32) for d in docs], 8))
+    first = next(s for s in packed if s[0][:2] == (0, 8))
+    assert first[1][0] == 3
+
+
 def paragraphs(text):
     return {line[i : i + 400] for line in text.split("\n") for i in range(0, len(line), 400)}
 
