@@ -30,7 +30,8 @@ SLACK = 1.5
 SAMPLED, MOST_SAMPLED = 64, 1_000_000
 #: A document is dealt by so many of its rarest terms.
 DEALT_BY = 3
-QUERY_TERMS = 24
+#: A term in more than this share of a shard's documents is scored for all seeds at once.
+OFTEN = 1 / 8
 K1, B = 1.2, 0.75
 
 
@@ -135,23 +136,45 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if mean is None else mean))
         term = np.repeat(np.arange(len(starts)), frequency)
         self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.doc])
-        # Each document's query: its rarest terms that some other document has too.
-        shared = np.flatnonzero(frequency[term] > 1)
-        order = shared[np.lexsort((term[shared], -idf[term[shared]], self.doc[shared]))]
+        # Frequent terms make one product of all queries with all documents; the postings
+        # of the others are added up seed by seed. A document's query is all its terms.
+        often = np.flatnonzero(frequency > OFTEN * n)
+        column = np.full(len(starts), -1)
+        column[often] = np.arange(len(often))
+        heavy = np.flatnonzero(column[term] >= 0)
+        asked, weights = np.zeros((n, len(often))), np.zeros((len(often), n))
+        asked[self.doc[heavy], column[term[heavy]]] = 1
+        weights[column[term[heavy]], self.doc[heavy]] = self.weight[heavy]
+        self.frequent = asked @ weights
+        shared = np.flatnonzero((frequency[term] > 1) & (column[term] < 0))
+        order = shared[np.argsort(self.doc[shared], kind="stable")]
         self.query_terms = term[order]
         self.query_starts = np.searchsorted(self.doc[order], np.arange(n + 1))
 
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """BM25 over all terms of the seed, and 0 for used documents; rounded, so that equal
+        documents are equal however their terms were added up."""
+        terms = self.query_terms[self.query_starts[seed] : self.query_starts[seed + 1]]
+        scores = self.frequent[seed]
+        if len(terms):
+            sizes = self.ends[terms] - self.starts[terms]
+            places = np.repeat(self.starts[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            scores = scores + np.bincount(self.doc[places], self.weight[places], minlength=self.n)
+        return np.round(scores * unused, 9)
+
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term of the seed, the best first."""
-        at = self.query_starts[seed]
-        terms = self.query_terms[at : min(at + QUERY_TERMS, self.query_starts[seed + 1])]
-        if not len(terms):
-            return terms
-        places = np.concatenate([np.arange(self.starts[t], self.ends[t]) for t in terms])
-        scores = np.bincount(self.doc[places], self.weight[places], minlength=self.n) * unused
+        """Unused documents that share a term with the seed, the best first."""
+        scores = self.scores(seed, unused)
         found = np.flatnonzero(scores)
         return found[np.lexsort((found, -scores[found]))]
 
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """The same one by one; mostly few are taken."""
+        scores = self.scores(seed, unused)
+        while scores[best := int(np.argmax(scores))] > 0:
+            scores[best] = 0
+            yield best
+
 
 def pack_shard(
     docs: list[np.ndarray], window: int, idf: np.ndarray | None = None, mean: float | None = None
@@ -181,7 +204,7 @@ def pack_shard(
                 return
         unused[seed] = False
         turn, free = [(int(tails[seed]), int(begin[seed]), left[seed])], window - left[seed]
-        ranked, seed_of_next = iter(index.neighbours(seed, unused)), None
+        ranked, seed_of_next = index.ranked(seed, unused), None
         while free:
             near = next(ranked, None)
             if near is None:

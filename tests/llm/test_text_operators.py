@@ -203,6 +203,25 @@ def test_whole_windows_take_part_in_retrieval():
     assert first[1][0] == 3
 
 
+def test_all_terms_of_a_seed_are_scored():
+    draw = np.random.default_rng(4)
+    docs = [draw.integers(0, 400, draw.integers(1, 90)).astype(np.uint32) for _ in range(60)]
+    idf, mean = draw.random(400) + 0.1, 50.0
+    index = packing.Shard(docs, idf, mean)
+    unused = draw.random(60) < 0.8
+    for seed in range(60):
+        want = []
+        for i, doc in enumerate(docs):
+            score, norm = 0.0, packing.K1 * (1 - packing.B + packing.B * len(doc) / mean)
+            for t in set(docs[seed].tolist()):
+                times = int((doc == t).sum())
+                score += idf[t] * times * (packing.K1 + 1) / (times + norm)
+            if unused[i] and score:
+                want.append((-round(score, 9), i))
+        assert index.neighbours(seed, unused).tolist() == [i for _, i in sorted(want)]
+        assert list(index.ranked(seed, unused)) == [i for _, i in sorted(want)]
+
+
 def paragraphs(text):
     return {line[i : i + 400] for line in text.split("\n") for i in range(0, len(line), 400)}
 
