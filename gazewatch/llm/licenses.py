@@ -1,10 +1,10 @@
 """License scans by a positional index of rare words.
 
 Templates are the fixed wordings of license notices. Their rare words are posted with
-their places. A document's license words are looked up, those of the highest inverse
-document frequency first to find candidates: a posting's place subtracted from the word's
-place says where the template would begin. Postings that agree on that beginning add up,
-and the words of the key phrase must all be among them. Only DataFrame functions are used.
+their places. All license words of a document are looked up: a posting's place subtracted
+from the word's place says where the template would begin. Postings that agree on that
+beginning add up by inverse document frequency, and the words of the key phrase must all be
+among them. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -55,8 +55,6 @@ TEMPLATES = (
 
 #: Words too common to look up by themselves; they are posted only inside a key phrase.
 COMMON = frozenset("the of to a and or is it in this that are you can any as use with under by for on be".split())
-#: A document's words of highest inverse document frequency that find candidates.
-RAREST = 16
 #: The share of a template's weight that must agree.
 LEAST_SHARE = 0.7
 
@@ -159,32 +157,18 @@ def aligned(hits: DataFrame, weights: dict[str, float]) -> DataFrame:
     for _, template, _, _, mandatory, weight in posted:
         totals[template] = totals.get(template, 0.0) + weight
         needed[template] = needed.get(template, 0) + mandatory
-    weight_of = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, weights[w])])
-    rarest = F.slice(
-        F.sort_array(
-            F.transform(
-                F.array_distinct(F.transform("hits", lambda h: h["w"])),
-                lambda w: F.named_struct(F.lit("o"), -F.element_at(weight_of, w), F.lit("w"), w),
-            )
-        ),
-        1,
-        RAREST,
-    )
-    rows = hits.where(F.size("hits") > 0).select(
-        "row", F.explode("hits").alias("h"), F.transform(rarest, lambda s: s["w"]).alias("rarest")
-    )
-    rows = rows.select("row", F.col("h.i").alias("i"), F.col("h.w").alias("w"), F.array_contains("rarest", F.col("h.w")).alias("rare"))
+    rows = hits.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h"))
+    rows = rows.select("row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
     # The index is a fixed table of about a hundred postings.
     met = rows.join(F.broadcast(table), "w").groupBy("row", "template", "label", (F.col("i") - F.col("place")).alias("begin"))
     found = met.agg(
         F.round(F.sum("weight"), 9).alias("weight"),
         F.sum(F.col("mandatory").cast("int")).alias("keys"),
-        F.max("rare").alias("candidate"),
     )
     limits = spark.createDataFrame([(t, totals[t], needed[t]) for t in totals], "template int, total double, needed int")
     return (
         found.join(F.broadcast(limits), "template")
-        .where("candidate AND keys = needed")
+        .where("keys = needed")
         .select("row", "label", F.least(F.lit(1.0), F.col("weight") / F.col("total")).alias("share"))
         .where(F.col("share") >= LEAST_SHARE)
     )

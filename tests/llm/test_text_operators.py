@@ -335,6 +335,18 @@ def test_licenses(spark, docs, rows, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_licenses_of_a_text_with_many_notices(spark):
+    by_label = {t.label: t.words for t in licenses.TEMPLATES if t.label in ("bsd", "apache", "mpl", "lgpl")}
+    several = " ".join([t.words for t in licenses.TEMPLATES if t.label in ("mit", "bsd")] + ["and licensed under cc by nc 4 0"])
+    texts = [several, " so ".join([several, *by_label.values()])]
+    # The notice is frequent, so its words are the least rare ones of the long texts.
+    texts += ["licensed under cc by nc 4 0"] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert got[0].labels == "bsd,cc-by,cc-by-nc,mit"
+    assert set(got[1].labels.split(",")) == {"bsd", "mit", "cc-by", "cc-by-nc", "apache", "mpl", "lgpl"}
+
+
 def test_languages(spark, no_docs):
     draw = random.Random(4)
     stock = {
