@@ -207,7 +207,8 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """The rows of `documents`, with all their columns, whose language identify() keeps.
 
-    The scores are put beside the whole rows, which pass by in their scan.
+    The scores are put beside the whole rows, which pass by in their scan while the priors
+    fit a broadcast; beyond that, they are shuffled by host with their text.
     """
     inner = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(
