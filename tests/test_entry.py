@@ -1,7 +1,7 @@
 import subprocess
 import sys
 
-from conftest import ROOT
+from roots import ROOT
 
 WITHOUT = """
 import sys
