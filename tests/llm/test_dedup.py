@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hard_rows import docs, no_docs, rows  # noqa: F401  fixtures
 
 from gazewatch.llm import near_dedup, suffix_dedup, window_dedup
 

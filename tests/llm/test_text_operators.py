@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hard_rows import docs, no_docs, rows  # noqa: F401  fixtures
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
