@@ -149,3 +149,45 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
     sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
 FROM parts
 """
+
+ORACLE["op12_fair_queue_mix"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, source, len({_WORDS})::BIGINT AS size,
+        substr(sha256('12:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS drawn
+    FROM documents
+), sources AS (
+    SELECT *, CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, sum(source_size) OVER () AS budget
+    FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
+        FROM docs GROUP BY source)
+), tried AS (
+    SELECT *, budget - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+    FROM sources WINDOW w AS (ORDER BY 3.0 * source_size / weight, number)
+), limits AS (
+    SELECT *, weight::DOUBLE * rest::DOUBLE / shares::DOUBLE > 3 * source_size AS above FROM tried
+), targets AS (
+    SELECT source, source_size, number, budget, CASE WHEN above THEN (3 * source_size)::DOUBLE
+        ELSE weight::DOUBLE * (budget - coalesce(sum(CASE WHEN above THEN 3 * source_size END) OVER (), 0))::DOUBLE
+            / (sum(CASE WHEN NOT above THEN weight END) OVER ())::DOUBLE END AS target
+    FROM limits
+), placed AS (
+    SELECT r, doc_id, size, source_size, number, budget, target,
+        coalesce(sum(size) OVER (PARTITION BY number ORDER BY drawn, doc_id, size, r
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
+), epochs AS (
+    SELECT *, unnest([0, 1, 2]) AS epoch FROM placed WHERE size > 0
+), entries AS (
+    SELECT *, unnest(range(0, size, 1024)) AS first FROM epochs
+), timed AS (
+    SELECT r, number, budget, target, start + epoch * source_size + first AS served, least(1024, size - first) AS words
+    FROM entries
+), merged AS (
+    SELECT r, words, budget - coalesce(sum(words) OVER (ORDER BY (served + words)::DOUBLE / target, number, served
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+    FROM timed
+), mixed AS (
+    SELECT r, sum(least(words, room)) AS taken FROM merged WHERE room > 0 GROUP BY r
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN mixed USING (r)
+"""

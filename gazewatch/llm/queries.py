@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazewatch.llm import bpe, fim, iblt, language, licenses, near_dedup, packing, quality, suffix_dedup, unigram, window_dedup
+from gazewatch.llm import bpe, fim, iblt, language, licenses, mixing, near_dedup, packing, quality, suffix_dedup, unigram, window_dedup
 from gazewatch.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op11_chunk_memo_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(back, 256).alias("restored_sha256"),
     )
+
+
+@register
+def op12_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
