@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazewatch.llm import bpe, fim, iblt, language, licenses, mixing, near_dedup, packing, quality, suffix_dedup, unigram, window_dedup
+from gazewatch.llm import bpe, conversation, fim, iblt, language, licenses, mixing, near_dedup, packing, quality, suffix_dedup, unigram, window_dedup
 from gazewatch.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,9 @@ def op11_chunk_memo_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = table(spark, sf_dir, "conversations")
+    return conversation.report(conversation.damaged(every), every)
