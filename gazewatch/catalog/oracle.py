@@ -5,7 +5,7 @@ from __future__ import annotations
 from gazewatch import fixed
 from gazewatch.catalog import gazette
 from gazewatch.catalog import queries as Q
-from gazewatch.functions.text import portable
+from gazewatch.functions.text import SHORTHANDS, portable
 
 
 def _text(value: str) -> str:
@@ -173,6 +173,23 @@ def _restricted(condition: str) -> str:
     return f"SELECT * FROM matches WHERE source_file IN (SELECT file_name FROM {condition})"
 
 
+def _spelled(expr: str) -> str:
+    for digit, syllable in enumerate(Q.SYLLABLES):
+        expr = f"replace({expr}, '{digit}', '{syllable}')"
+    return expr
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(_text(v) for v in values) + "]"
+
+
+def _portable(expr: str) -> str:
+    """The shorthands of a pattern in a column, spelled out."""
+    for shorthand, spelled in SHORTHANDS:
+        expr = f"replace({expr}, {_text(shorthand)}, {_text(spelled)})"
+    return expr
+
+
 ORACLE: dict[str, str] = {
     "all_matches": f"{MATCHES} SELECT * FROM matches",
     "publications": "WITH "
@@ -194,6 +211,22 @@ ORACLE: dict[str, str] = {
       {_extract('title', fixed.DATE_PHRASE)} AS publication_date FROM titled WHERE title IS NOT NULL""",
     "keyword_line_hits": f"""{RULES} SELECT l.file_name, l.line_no, k.filter_ord, k.keyword FROM plain_lines l
       JOIN keywords k ON k.secao = l.secao AND contains(lower(l.line), lower(k.keyword))""",
+    "keyword_index_hits": f"""WITH {DOCUMENTS}, spelled AS (
+      SELECT p_partkey, {_spelled("lpad(CAST(p_partkey AS VARCHAR), 4, '0')")} AS w FROM part),
+    listed AS (
+      SELECT CAST(p_partkey AS INT) AS filter_ord, {_listed(Q.LANGUAGES)}[p_partkey % {len(Q.LANGUAGES)} + 1] AS secao,
+        [CAST(p_partkey AS VARCHAR), right(w, 6), right(w, 8), right(w, 6) || ' ', right(w, 6) || '.', ' ' || right(w, 8)] AS kws
+      FROM spelled),
+    wanted AS (
+      SELECT filter_ord, secao, CAST(unnest(range(0, 6)) AS INT) AS keyword_ord, unnest(kws) AS keyword FROM listed),
+    met AS (
+      SELECT l.file_name, l.line_no, l.secao, k.keyword FROM plain_lines l
+      JOIN (SELECT DISTINCT secao, keyword FROM wanted) k ON k.secao = l.secao AND contains(lower(l.line), k.keyword))
+    SELECT m.file_name, m.line_no, w.filter_ord, w.keyword_ord, w.keyword FROM met m JOIN wanted w USING (secao, keyword)""",
+    "regex_keyword_hits": f"""WITH {ACTS}, {_rules("rules", Q.PATTERN_RULES)}
+      SELECT l.file_name, l.line_no, k.filter_ord, k.keyword FROM plain_lines l JOIN keywords k ON k.secao = l.secao
+        AND CASE WHEN k.keyword LIKE 're:%' THEN regexp_matches(l.line, '(?i)' || {_portable("substr(k.keyword, 4)")})
+          ELSE contains(lower(l.line), lower(k.keyword)) END""",
     "org_gate": f"{RULES}, {GATE} SELECT * FROM gate",
     "org_theta_join": f"""{DOCUMENT_RULES} SELECT d.doc_id, r.secao, r.nome, r.orgao FROM documents d
       JOIN rules r ON r.secao = d.lang AND contains(lower(d.text), lower(r.orgao))""",
@@ -287,6 +320,8 @@ ORACLE: dict[str, str] = {
           || '</h2><p><b>{fixed.HEARTBEAT_LABEL}</b></p><p>{fixed.NO_MATCH_LABEL}</p></body></html>' END AS body
       FROM due""",
     "matches_per_filter": f"{MATCHES} SELECT filter_name, count(*) AS total FROM matches GROUP BY 1",
+    "matches_per_period": f"""{MATCHES} SELECT unit, CAST(date_trunc(unit, edition_date) AS DATE) AS period, filter_name,
+      count(*) AS total FROM matches, (SELECT unnest(['day', 'week', 'month']) AS unit) GROUP BY ALL""",
     "match_row_ids": f"""{MATCHES} SELECT 1000 + row_number() OVER (
         ORDER BY edition_date, filter_ord, source_file, keyword_ord, line_no) AS id,
       edition_date, filter_name, source_file, keyword_hit, line_no FROM matches""",

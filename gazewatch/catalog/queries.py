@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazewatch import fixed
 from gazewatch.catalog import gazette
 from gazewatch.catalog.gazette import table
 from gazewatch.functions import dates as D
@@ -26,8 +28,7 @@ from gazewatch.sources import rules as R
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# Short reaches: generated editions are too short for the usual 50 and 200 lines.
-BACK, FORWARD = 5, 8
+BACK, FORWARD = fixed.LINES_BACK, fixed.LINES_FORWARD
 LEDGER_BEFORE = date(1997, 1, 1)
 TARGET = date(1997, 5, 3)
 RANGE = (date(1995, 1, 1), date(2001, 12, 31))
@@ -45,6 +46,13 @@ DOCUMENT_RULES = (
     R.FilterRule("spanish", "es", "las", ("ción", "ñ")),
     R.FilterRule("english-contact", "en", "license", ("a",)),
 )
+SYLLABLES = ("en", "er", "th", "on", "at", "ed", "re", "in", "nd", "sh")
+LANGUAGES = ("en", "de", "fr", "es")
+PATTERN_RULES = (
+    R.FilterRule("numbers", "DO1", "", (r"re:n[ºo°]\s*[1-3]\b", r"re:portaria \w+ nº \d, de 0?[12] de", "resolve")),
+    R.FilterRule("words", "DO2", "", (r"re:(sufer|delibera\w+) item \d+5\z", r"re:\AT.{3,9}ato re")),
+    R.FilterRule("any", "DO3", "", (r"re:\d{4,}|DEZEMBRO", r"re:ins?tru[cç][aã]o", r"re:item 1?2+3")),
+)
 DOCUMENT_TITLES = (r"\AE\w+\s+\w+", r"\A[DT]\w+\s+\w+")
 
 
@@ -88,27 +96,30 @@ def all_matches(spark, folder):
 def publications(spark, folder):
     lines = gazette.staged_lines(spark, folder)
     marked = A.marked_lines(lines, _rules(spark))
-    hits = A.act_bounds(A.nearest_titles(marked, BACK, FORWARD))
-    return A.publications(A.with_full_text(A.label_untitled(hits, lines), lines))
+    acts = A.hit_acts(A.act_bounds(A.nearest_titles(marked, BACK, FORWARD)))
+    return A.publications(A.with_full_text(A.label_untitled(stage(acts, "acts"), lines), lines))
 
 
 @query
 def dedup_by_title(spark, folder):
     lines = gazette.staged_lines(spark, folder)
-    hits = search.gated_hits(lines, _rules(spark), back=BACK, forward=FORWARD)
-    return A.first_per_title(A.label_untitled(hits, lines)).drop("keyword_ord", "nome")
+    acts = search.find_acts(lines, _rules(spark), back=BACK, forward=FORWARD)
+    return acts.drop("keyword_ord", "filter_name")
 
 
-@query
-def document_matches(spark, folder):
-    docs = table(spark, folder, "documents").select(
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_name"),
         F.col("lang").alias("secao"),
         F.lit(date(2024, 1, 1)).alias("edition_date"),
         "text",
     )
+
+
+@query
+def document_matches(spark, folder):
     return search.find_matches_in_documents(
-        docs,
+        _documents(spark, folder),
         R.rules_frame(spark, DOCUMENT_RULES),
         patterns=DOCUMENT_TITLES,
         back=BACK,
@@ -154,6 +165,36 @@ def keyword_line_hits(spark, folder):
     return hits.select("file_name", "line_no", "filter_ord", "keyword")
 
 
+@query
+def keyword_index_hits(spark, folder):
+    """Six keywords for every part, beyond the broadcast limits from some thousand parts on.
+
+    They are the number of the part, and made-up words that spell its last digits.
+    """
+    number = F.col("p_partkey").cast("string")
+    spelled = reduce(
+        lambda s, d: F.replace(s, F.lit(str(d[0])), F.lit(d[1])), enumerate(SYLLABLES), F.lpad(number, 4, "0")
+    )
+    words = [F.right(spelled, F.lit(n)) for n in (6, 8)]
+    keywords = [number, *words, F.concat(words[0], F.lit(" ")), F.concat(words[0], F.lit(".")), F.concat(F.lit(" "), words[1])]
+    rules = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("int").alias("filter_ord"),
+        F.col("p_brand").alias("nome"),
+        F.get(F.array(*[F.lit(s) for s in LANGUAGES]), (F.col("p_partkey") % len(LANGUAGES)).cast("int")).alias("secao"),
+        F.lit("").alias("orgao"),
+        F.array(*keywords).alias("keywords"),
+    )
+    lines = stage(documents.document_lines(_documents(spark, folder)), "lines")
+    hits = A.keyword_lines(lines, R.checked(rules))
+    return hits.select("file_name", "line_no", "filter_ord", "keyword_ord", "keyword")
+
+
+@query
+def regex_keyword_hits(spark, folder):
+    hits = A.keyword_lines(gazette.lines(spark, folder), R.rules_frame(spark, PATTERN_RULES))
+    return hits.select("file_name", "line_no", "filter_ord", "keyword")
+
+
 @query
 def org_gate(spark, folder):
     gate = A.organisation_gate(gazette.lines(spark, folder), _rules(spark))
@@ -188,21 +229,25 @@ def keyword_count(spark, folder):
     )
 
 
+def _occurrences(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return documents.occurrences(docs, KEYWORD)
+
+
 @query
 def keyword_positions(spark, folder):
-    return documents.keyword_positions(table(spark, folder, "documents"), "doc_id", KEYWORD)
+    return _occurrences(spark, folder).select("doc_id", "position")
 
 
 @query
 def context_snippet(spark, folder):
-    docs = table(spark, folder, "documents")
-    return documents.at_keyword(docs, "doc_id", KEYWORD, snippet=X.context_snippet)
+    snippet = X.context_snippet(F.col("text"), F.col("position"))
+    return _occurrences(spark, folder).select("doc_id", "position", snippet.alias("snippet"))
 
 
 @query
 def locate_line(spark, folder):
-    docs = table(spark, folder, "documents")
-    return documents.at_keyword(docs, "doc_id", KEYWORD, line_no=X.line_of)
+    return _occurrences(spark, folder).select("doc_id", "position", "line_no")
 
 
 @query
@@ -460,6 +505,11 @@ def matches_per_filter(spark, folder):
     return report.matches_per_filter(_acts_in(gazette.staged_lines(spark, folder)))
 
 
+@query
+def matches_per_period(spark, folder):
+    return report.matches_per_period(_acts_in(gazette.staged_lines(spark, folder)))
+
+
 @query
 def match_row_ids(spark, folder):
     return with_ids(_stored(spark, folder), highest=1000).select(

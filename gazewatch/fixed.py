@@ -45,6 +45,7 @@ LINES_FORWARD = 200  # a title closes an act up to 199 lines below its start
 SNIPPET_CHARS = 500
 CONTEXT_CHARS = 250
 TITLE_CHARS = 200
+FALLBACK_CHARS = 2000  # of the text of an act without any title
 LOOKBACK_DAYS = 2
 HISTORY_DAYS = 30
 HEARTBEAT_HOURS = (9, 11)  # UTC, Monday to Friday, end excluded

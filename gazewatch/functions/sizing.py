@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 # A rule table up to this many rows and bytes is copied to every executor.
 BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 8 << 20
-# Beyond that, each section is spread over this many partitions.
-SECTION_SALTS = 512
 
 
 def fits_broadcast(rules: DataFrame, copies: Column | None = None) -> bool:
@@ -40,26 +38,13 @@ def join_rules(
     """Join on ``secao`` and a further condition between columns of both sides.
 
     A rule table is normally a few rows and is broadcast once its size is known;
-    ``small`` says so if it was found out before. A larger one is shuffled. There
-    are only a handful of sections, so the left rows are spread by a salt taken from
-    their own content, and every rule is repeated once per salt; each pair still
-    meets exactly once.
+    ``small`` says so if it was found out before. A larger one is joined by section as the
+    planner sees fit; large sections are split there, by adaptive execution.
     """
-    salts = SECTION_SALTS
     right = rules.withColumnRenamed("secao", "_secao")
     if fits_broadcast(rules) if small is None else small:
-        on = (left["secao"] == right["_secao"]) & condition
-        return left.join(F.broadcast(right), on, how).drop("_secao")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    repeated = right.withColumn(
-        "_rule_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    on = (
-        (salted["secao"] == repeated["_secao"])
-        & (salted["_salt"] == repeated["_rule_salt"])
-        & condition
-    )
-    return salted.join(repeated, on, how).drop("_secao", "_salt", "_rule_salt")
+        right = F.broadcast(right)
+    return left.join(right, (left["secao"] == right["_secao"]) & condition, how).drop("_secao")
 
 
 def shared_folder(spark: SparkSession) -> str:

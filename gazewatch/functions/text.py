@@ -19,9 +19,12 @@ WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 
 
+SHORTHANDS = ((r"\s", SPACE), (r"\w", WORD), (r"\d", DIGIT))
+
+
 def portable(pattern: str) -> str:
     """Replace the ``\\s \\w \\d`` shorthands by explicit Unicode classes."""
-    for shorthand, spelled in ((r"\s", SPACE), (r"\w", WORD), (r"\d", DIGIT)):
+    for shorthand, spelled in SHORTHANDS:
         pattern = pattern.replace(shorthand, spelled)
     return pattern
 
@@ -45,6 +48,10 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
+# The one letter whose folded form is longer than itself.
+GROWS = "İ"
+
+
 def fold(text: Column) -> Column:
     """Case folding used by every search."""
     return F.lower(text)
@@ -122,11 +129,5 @@ def quoted(keyword: str) -> str:
     return r"\Q" + keyword.lower().replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def line_of(text: Column, position: Column) -> Column:
-    """Zero-based number of the line a zero-based position falls in."""
-    before = F.substring(text, F.lit(1), position.cast("int"))
-    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("bigint")
-
-
 def section_number(secao: str) -> str:
     return secao.replace("DO", "")

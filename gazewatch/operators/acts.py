@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazewatch import fixed
-from gazewatch.functions import sizing
+from gazewatch.functions import bloom, sizing
 from gazewatch.functions import text as X
 from gazewatch.functions.rows import where_present
-from gazewatch.sources import rules as R
+from gazewatch.operators import needles
 
 # Lines per window partition. Large against the lines copied at each edge.
 WINDOW_TILE = 8192
@@ -69,10 +69,8 @@ def organisation_gate(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
     Found per line and reduced before the shuffle, so file size does not matter.
     """
-    orgs = rules.select("filter_ord", "secao", X.fold(F.col("orgao")).alias("_org"))
-    texts = lines.select("file_name", "secao", "n_lines", X.fold(F.col("line")).alias("_folded"))
-    hit = F.contains(F.col("_folded"), F.col("_org"))
-    return sizing.join_rules(texts, orgs, hit, "inner").select(*GATE).distinct()
+    orgs = rules.withColumn("keywords", F.array().cast("array<string>"))
+    return needles.meet(folded(lines), orgs).select(*GATE).distinct()
 
 
 def admitted(hits: DataFrame, gate: DataFrame) -> DataFrame:
@@ -89,31 +87,26 @@ def admitted(hits: DataFrame, gate: DataFrame) -> DataFrame:
     return tiled.join(spread_gate, ["file_name", "filter_ord", "_tile"], "left_semi").drop("_tile")
 
 
-def keyword_lines(lines: DataFrame, rules: DataFrame, how: str = "inner") -> DataFrame:
-    """Lines with each keyword they contain; all lines once with ``how='left'``.
+def keyword_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Lines with each keyword they contain.
 
     All occurrences on a line belong to the same act, so a line counts once.
     """
-    needles = (
-        R.keywords(rules)
-        .select("filter_ord", "nome", "secao", "keyword_ord", "keyword")
-        .withColumn("_needle", X.fold(F.col("keyword")))
-    )
     texts = lines if "_folded" in lines.columns else folded(lines)
-    hit = F.contains(F.col("_folded"), F.col("_needle"))
-    small = sizing.fits_broadcast(rules, F.size("keywords"))
-    return sizing.join_rules(texts, needles, hit, how, small).drop("_folded", "_needle")
+    return needles.meet(texts, rules, organisations=False).drop("_folded")
 
 
 def marked_lines(
     lines: DataFrame, rules: DataFrame, patterns: Sequence[str] = fixed.TITLE_PATTERNS
 ) -> DataFrame:
-    """One pass over the text: the lines with a title or a keyword, without their text."""
-    return (
-        keyword_lines(with_titles(folded(lines), patterns), rules, "left")
-        .where("title IS NOT NULL OR filter_ord IS NOT NULL")
-        .drop("line")
-    )
+    """One pass over the text: the lines with a title, a keyword or an organisation, without their text."""
+    titled = with_titles(folded(lines), patterns)
+    return needles.meet(titled, rules, F.col("title").isNotNull()).drop("line", "_folded")
+
+
+def gate_of(marked: DataFrame) -> DataFrame:
+    """Files that name the rule's organisation, with their length, from the marked lines."""
+    return marked.where(F.col("keyword_ord") == needles.ORGANISATION).select(*GATE).distinct()
 
 
 def nearest_titles(
@@ -132,10 +125,11 @@ def nearest_titles(
     tile = tile or WINDOW_TILE
     line_no = F.col("line_no")
     is_title = F.col("title").isNotNull()
+    is_hit = F.coalesce(F.col("keyword_ord") >= 0, F.lit(False))
     own = F.floor(line_no / tile)
     first = F.greatest(F.floor((line_no - (forward - 1)) / tile), F.lit(0).cast("bigint"))
     last = F.floor((line_no + (back - 1)) / tile)
-    tiled = marked.withColumn(
+    tiled = marked.where(is_title | is_hit).withColumn(
         "_tile", F.explode(F.when(is_title, F.sequence(first, last)).otherwise(F.array(own)))
     )
 
@@ -147,7 +141,7 @@ def nearest_titles(
     return (
         tiled.withColumn("next_title", next_title)
         .withColumn("opening", F.last(opening, ignorenulls=True).over(above))
-        .where(F.col("filter_ord").isNotNull() & (F.col("_tile") == own))
+        .where(is_hit & (F.col("_tile") == own))
         .drop("_tile", "title")
     )
 
@@ -173,68 +167,88 @@ def act_bounds(hits: DataFrame) -> DataFrame:
     )
 
 
-def spread(acts: DataFrame, until: Column, carried: Sequence[str]) -> DataFrame:
-    """One row per act and tile of lines it covers; ``carried`` columns on the first only."""
-    first = F.floor(F.col("start_line") / TEXT_TILE)
-    last = F.floor((F.col("_until") - 1) / TEXT_TILE)
-    tiled = acts.withColumn("_until", until).withColumn("_tile", F.explode(F.sequence(first, last)))
-    others = [c for c in acts.columns if c not in carried]
-    on_first = [F.when(F.col("_tile") == first, F.col(c)).alias(c) for c in carried]
-    return tiled.select(*others, *on_first, "_until", "_tile")
+def hit_acts(bounds: DataFrame) -> DataFrame:
+    """One row per act, rule and keyword, with the first hit line."""
+    key = [c for c in bounds.columns if c != "line_no"]
+    return bounds.groupBy(*key).agg(F.min("line_no").alias("line_no"))
+
 
+def act_texts(
+    acts: DataFrame, lines: DataFrame, chars: int | None = None, carried: Sequence[str] = ()
+) -> DataFrame:
+    """The lines ``start_line`` to ``end_line`` of each act of a file as one text, ``_text``.
+
+    Acts overlap: those without a next title share the end of their file. So the text is cut
+    once where acts begin and end, each piece is put together once, and an act is a range of
+    pieces. Only the lines of tiles that an act touches leave the scan: a Bloom filter of
+    those tiles is probed there. ``chars`` limits each line to its first so many characters
+    after white space. ``acts`` has one row per range; ``carried`` columns stay with it.
+    """
+    spark = lines.sparkSession
+    first, last = F.floor(F.col("start_line") / TEXT_TILE), F.floor((F.col("end_line") - 1) / TEXT_TILE)
+    others = [F.when(F.col("_tile") == first, F.col(c)).alias(c) for c in carried]
+    asked = acts.select("file_name", "start_line", "end_line", *carried, F.explode(F.sequence(first, last)).alias("_tile"))
+    asked = sizing.stage(asked.select("file_name", "start_line", "end_line", "_tile", *others), "asked")
 
-def join_lines(acts: DataFrame, lines: DataFrame, how: str) -> DataFrame:
-    """Meet each act with its lines. Keys are file and tile, so no key has many lines."""
+    def cuts(edge: str) -> Column:
+        return F.collect_set(F.when(F.floor(F.col(edge) / TEXT_TILE) == F.col("_tile"), F.col(edge)))
+
+    touched = asked.groupBy("file_name", "_tile").agg(
+        F.concat(cuts("start_line"), cuts("end_line"), F.array(F.col("_tile") * TEXT_TILE)).alias("_cuts")
+    )
+    touched = sizing.stage(touched, "touched")
+    key, blocks = F.xxhash64("file_name", "_tile"), bloom.blocks_for(touched.count())
+    text = F.col("line")
+    if chars is not None:
+        margin = F.length("line") - F.length(F.ltrim("line", F.lit(fixed.WHITE_SPACE)))
+        text = F.substring("line", F.lit(1), margin + chars)
     numbered = lines.select(
-        F.col("file_name").alias("_file"),
-        F.floor(F.col("line_no") / TEXT_TILE).alias("_line_tile"),
-        F.col("line_no").alias("_line_no"),
-        F.col("line").alias("_line"),
+        "file_name", F.floor(F.col("line_no") / TEXT_TILE).alias("_tile"), "line_no", text.alias("_line")
     )
-    on = (
-        (acts["file_name"] == numbered["_file"])
-        & (acts["_tile"] == numbered["_line_tile"])
-        & (F.col("_line_no") >= F.col("start_line"))
-        & (F.col("_line_no") < F.col("_until"))
+    pieces = (
+        bloom.may_be_in(numbered, key, bloom.bloom_filter(touched, key, blocks), blocks)
+        .join(touched, ["file_name", "_tile"])
+        .withColumn("_piece", F.array_max(F.filter("_cuts", lambda c: c <= F.col("line_no"))))
+        .groupBy("file_name", "_tile", "_piece")
+        .agg(F.expr("listagg(_line, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("_part"))
+    )
+    inside = (F.col("_piece") >= F.col("start_line")) & (F.col("_piece") < F.col("end_line"))
+    return (
+        asked.join(pieces, ["file_name", "_tile"])
+        .where(inside)
+        .groupBy("file_name", "start_line", "end_line")
+        .agg(
+            F.expr("listagg(_part, '\\n') WITHIN GROUP (ORDER BY _piece)").alias("_text"),
+            *[F.first(c, ignorenulls=True).alias(c) for c in carried],
+        )
     )
-    return acts.join(numbered, on, how)
 
 
 def label_untitled(
     bounds: DataFrame, lines: DataFrame, chars: int = fixed.TITLE_CHARS
 ) -> DataFrame:
-    """One row per act, rule and keyword, with the first hit line and a title.
+    """Give acts without a title the beginning of their text. ``is_titled`` keeps the difference.
 
-    Acts without a title get the beginning of their text. ``chars`` characters lie
-    within as many lines, so no more lines are read, and no more than ``chars``
-    characters of each. ``is_titled`` keeps the difference.
+    ``chars`` characters lie within as many lines, so no more lines are read, and no more
+    than ``chars`` characters of each; each act is read once, whatever hit it.
     """
-    untitled = F.col("title").isNull()
+    act = ["file_name", "start_line", "end_line"]
     until = F.least(F.col("end_line"), F.col("start_line") + chars)
-    # A titled act needs no lines: a tile that does not exist keeps it, unmatched, in the join.
-    nowhere = F.lit(-1).cast("bigint") - F.floor(F.col("start_line") / TEXT_TILE)
-    asked = spread(
-        bounds,
-        F.when(untitled, until).otherwise(F.col("start_line") + 1),
-        [],
-    ).withColumn("_tile", F.when(untitled, F.col("_tile")).otherwise(nowhere))
-    at_start = F.col("_line_no") == F.col("start_line")
-    begun = F.when(at_start, F.ltrim(F.col("_line"), F.lit(fixed.WHITE_SPACE))).otherwise(
-        F.col("_line")
+    untitled = bounds.where("title IS NULL").select(*act[:2], until.alias("end_line")).distinct()
+    labels = act_texts(untitled, lines, chars).select(
+        F.col("file_name").alias("_file"),
+        F.col("start_line").alias("_start"),
+        F.col("end_line").alias("_end"),
+        X.untitled_label(X.strip(F.col("_text")), chars).alias("_label"),
     )
-    act = [*FILE, "start_line", "end_line", "title"]
-    labelled = (
-        join_lines(asked, lines, "left")
-        .withColumn("_piece", F.substring(begun, 1, chars))
-        .groupBy(*act, "filter_ord", "nome", "keyword_ord", "keyword")
-        .agg(
-            F.min("line_no").alias("line_no"),
-            F.expr("listagg(_piece, '\\n') WITHIN GROUP (ORDER BY _line_no)").alias("_text"),
-        )
+    on = (
+        F.col("title").isNull()
+        & (F.col("file_name") == F.col("_file"))
+        & (F.col("start_line") == F.col("_start"))
+        & (until == F.col("_end"))
     )
-    return labelled.withColumn("is_titled", F.col("title").isNotNull()).withColumn(
-        "title", F.coalesce("title", X.untitled_label(F.col("_text"), chars))
-    ).drop("_text")
+    labelled = bounds.join(labels, on, "left").withColumn("is_titled", F.col("title").isNotNull())
+    return labelled.withColumn("title", F.coalesce("title", "_label")).select(*bounds.columns, "is_titled")
 
 
 def first_per_title(acts: DataFrame) -> DataFrame:
@@ -254,22 +268,16 @@ def with_full_text(kept: DataFrame, lines: DataFrame) -> DataFrame:
 
     ``hits`` holds one element per keyword of the section at most.
     """
-    act = [*FILE, "start_line", "end_line"]
-    hit = F.struct("filter_ord", "nome", "keyword_ord", "keyword", "line_no", "title", "is_titled")
-    acts = kept.groupBy(*act).agg(F.collect_list(hit).alias("hits"))
-    whole = (
-        join_lines(spread(acts, F.col("end_line"), ["hits"]), lines, "inner")
-        .groupBy(*act)
-        .agg(
-            F.expr("listagg(_line, '\\n') WITHIN GROUP (ORDER BY _line_no)").alias("_text"),
-            F.first("hits", ignorenulls=True).alias("hits"),
-        )
-    )
+    act = ["file_name", "start_line", "end_line"]
+    others = [c for c in kept.columns if c not in act]
+    acts = kept.groupBy(*act).agg(F.collect_list(F.struct(*others)).alias("hits"))
+    whole = act_texts(acts, lines, carried=["hits"])
     return whole.select(*act, X.strip(F.col("_text")).alias("full_text"), F.inline("hits"))
 
 
-def publications(acts: DataFrame) -> DataFrame:
-    """The stored form of a match."""
+def publications(acts: DataFrame, fallback_chars: int = fixed.FALLBACK_CHARS) -> DataFrame:
+    """The stored form of a match. Without any title only so much of the text is kept."""
+    untitled_text = F.substring("full_text", 1, fallback_chars)
     return acts.select(
         "edition_date",
         "filter_ord",
@@ -283,5 +291,5 @@ def publications(acts: DataFrame) -> DataFrame:
         .otherwise(F.lit(""))
         .alias("publication_date"),
         X.snippet(F.col("full_text")).alias("text_snippet"),
-        "full_text",
+        F.when(F.col("title") == "", untitled_text).otherwise(F.col("full_text")).alias("full_text"),
     )

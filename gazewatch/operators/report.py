@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,19 @@ def matches_per_filter(matches: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("total"), "filter_name")
 
 
+def matches_per_period(matches: DataFrame, units: Sequence[str] = ("day", "week", "month")) -> DataFrame:
+    """How many matches each rule has in every period with any: (unit, period, filter_name, total).
+
+    Counted by day once; longer periods add up days.
+    """
+    daily = matches.groupBy("edition_date", "filter_name").agg(F.count(F.lit(1)).alias("_n"))
+    starts = F.array(
+        *[F.struct(F.lit(u).alias("unit"), F.to_date(F.date_trunc(u, "edition_date")).alias("period")) for u in units]
+    )
+    spread = daily.select("filter_name", "_n", F.inline(starts))
+    return spread.groupBy("unit", "period", "filter_name").agg(F.sum("_n").alias("total"))
+
+
 def recent(rows: DataFrame, moment: str, as_of: date, days: int = fixed.HISTORY_DAYS) -> DataFrame:
     """Rows of the last ``days`` days, newest first."""
     return rows.where(D.is_recent(F.col(moment), as_of, days)).orderBy(F.desc(moment))

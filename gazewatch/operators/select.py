@@ -98,7 +98,8 @@ def claims(files: DataFrame, rules: DataFrame, mode: str = "all_filters") -> Dat
     gives it to the first one only, which starves the later rules.
     """
     if mode == "all_filters":
-        return rules_for_files(files, rules).select("file_name", "filter_ord").distinct()
+        names = files.select("file_name", "secao").distinct()
+        return rules_for_files(names, rules.select("filter_ord", "secao")).select("file_name", "filter_ord")
     if mode == "first_filter":
         firsts = rules.groupBy("secao").agg(F.min("filter_ord").alias("filter_ord"))
         claimed = files.select("file_name", "secao").join(firsts, "secao")

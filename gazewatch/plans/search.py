@@ -12,6 +12,7 @@ from gazewatch.functions import sizing
 from gazewatch.functions import text as X
 from gazewatch.functions.sizing import stage
 from gazewatch.operators import acts as A
+from gazewatch.sources import rules as R
 from gazewatch.sources.documents import document_lines
 
 
@@ -26,14 +27,15 @@ def gated_hits(
 ) -> DataFrame:
     """Keyword lines of admitted files with the bounds of the act around each.
 
-    Files are admitted on the few rows that hit, not on the text: the gate is as
-    short as the list of files and only ever meets hits.
+    The text is read once, for titles, keywords and organisations; what is marked is staged
+    without text. Files are admitted on the few rows that hit: the gate is as short as the
+    list of files and only ever meets hits.
     """
-    gate = A.organisation_gate(lines, rules) if gate is None else gate
+    marked = stage(A.marked_lines(lines, rules, patterns), "marked")
+    gate = A.gate_of(marked) if gate is None else gate
     if allowed is not None:
         gate = gate.join(allowed, ["file_name", "filter_ord"], "left_semi")
-    hits = A.nearest_titles(A.marked_lines(lines, rules, patterns), back, forward)
-    return A.act_bounds(A.admitted(hits, gate))
+    return A.act_bounds(A.admitted(A.nearest_titles(marked, back, forward), gate))
 
 
 def find_matches(
@@ -44,22 +46,26 @@ def find_matches(
     forward: int = fixed.LINES_FORWARD,
     gate: DataFrame | None = None,
     allowed: DataFrame | None = None,
+    fallback_chars: int = fixed.FALLBACK_CHARS,
 ) -> DataFrame:
     """Matches of every rule in every file.
 
     ``allowed`` (``file_name, filter_ord``) restricts which rule may see which file.
-    The lines are scanned for the gate, for the marks and for the act texts, so a
-    table that is costly to derive should be staged first.
+    The lines are scanned for the marks, for the labels of untitled acts and for the act
+    texts, so a table that is costly to derive should be staged first.
     """
-    hits = gated_hits(lines, rules, patterns, back, forward, gate, allowed)
-    kept = A.first_per_title(A.label_untitled(hits, lines))
-    return A.publications(A.with_full_text(kept, lines))
+    kept = _kept(lines, rules, patterns=patterns, back=back, forward=forward, gate=gate, allowed=allowed)
+    return A.publications(A.with_full_text(kept, lines), fallback_chars)
 
 
 def find_acts(lines: DataFrame, rules: DataFrame, **options) -> DataFrame:
     """The acts that match, without their text: enough to count, date and name matches."""
-    hits = gated_hits(lines, rules, **options)
-    return A.first_per_title(A.label_untitled(hits, lines)).withColumnRenamed("nome", "filter_name")
+    return _kept(lines, rules, **options).withColumnRenamed("nome", "filter_name")
+
+
+def _kept(lines: DataFrame, rules: DataFrame, **options) -> DataFrame:
+    bounds = stage(A.hit_acts(gated_hits(lines, rules, **options)), "bounds")
+    return A.first_per_title(A.label_untitled(bounds, lines))
 
 
 def of_files(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -68,7 +74,7 @@ def of_files(lines: DataFrame, files: DataFrame) -> DataFrame:
     A list of files within the broadcast limits meets the lines as they are read. A larger
     one is joined by file name and day, which the planner sizes.
     """
-    names = files.select("file_name").distinct()
+    names = stage(files.select("file_name").distinct(), "names")
     if sizing.fits_broadcast(names):
         names = F.broadcast(names)
     return lines.join(names, "file_name", "left_semi").select(*lines.columns)
@@ -85,14 +91,22 @@ def find_matches_in_documents(docs: DataFrame, rules: DataFrame, **options) -> D
 
 
 def may_match(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Documents that name the organisation and a keyword of some rule."""
+    """Documents that name the organisation and a keyword of some rule, where this can be told.
+
+    A regular expression may be anywhere. A rule table beyond the broadcast limits is left to
+    the index of its needles, which looks at lines.
+    """
+    if not sizing.fits_broadcast(rules):
+        return docs
     needles = rules.select(
         "secao",
         X.fold(F.col("orgao")).alias("_org"),
-        F.transform("keywords", lambda k: X.fold(k)).alias("_needles"),
+        F.transform(
+            "keywords", lambda k: F.when(F.startswith(k, F.lit(R.PATTERN_PREFIX)), "").otherwise(X.fold(k))
+        ).alias("_needles"),
     )
     folded = docs.withColumn("_folded", X.fold(F.col("text")))
     hit = F.contains(F.col("_folded"), F.col("_org")) & F.exists(
         "_needles", lambda k: F.contains(F.col("_folded"), k)
     )
-    return sizing.join_rules(folded, needles, hit, "left_semi").drop("_folded")
+    return sizing.join_rules(folded, needles, hit, "left_semi", True).drop("_folded")

@@ -17,6 +17,10 @@ from gazewatch.functions import sizing
 from gazewatch.functions import text as X
 
 
+# A keyword that begins so is a regular expression.
+PATTERN_PREFIX = "re:"
+
+
 @dataclass(frozen=True)
 class FilterRule:
     nome: str
@@ -51,7 +55,8 @@ def checked(rules: DataFrame) -> DataFrame:
     """Fail on a keyword that is blank, and on any needle that spans lines: text is searched by line."""
     line_break = F.lit("\n")
     bad = F.contains(F.col("orgao"), line_break) | F.exists(
-        "keywords", lambda k: X.is_blank(k) | F.contains(k, line_break)
+        "keywords",
+        lambda k: X.is_blank(k) | F.contains(k, line_break) | (X.strip(k) == F.lit(PATTERN_PREFIX)),
     )
     message = F.concat(F.lit("blank or multi-line needle in rule "), F.col("nome"))
     return rules.withColumn(

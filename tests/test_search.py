@@ -103,9 +103,8 @@ def test_tiles_make_no_difference(spark, monkeypatch, tile):
         assert found(got) == expected(docs, back=back, forward=forward)
 
 
-def test_large_rule_tables_take_the_salted_join(spark, monkeypatch):
+def test_large_rule_tables_are_indexed(spark, monkeypatch):
     monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(sizing, "SECTION_SALTS", 4)
     docs = corpus(4, sizes=(3, 40))
     frame = search.find_matches_in_documents(documents_frame(spark, docs), rules_frame(spark, RULES))
     assert found(frame) == expected(docs)

@@ -119,16 +119,9 @@ def test_context_snippet(spark, position):
     assert got == text[max(0, position - 250) : position + 250]
 
 
-def test_line_of(spark):
-    text = "\nab\n\ncd\n"
-    frame = spark.createDataFrame([(text, p) for p in range(len(text))], "t string, p long")
-    got = {r.p: r.n for r in frame.select("p", X.line_of(F.col("t"), F.col("p")).alias("n")).collect()}
-    assert got == {p: text[:p].count("\n") for p in range(len(text))}
-
-
 @pytest.mark.parametrize("keyword", ["aa", "a", "aba", "A.", r"\E", "[x]"])
 def test_overlapping_occurrences(spark, keyword):
-    from gazewatch.sources.documents import keyword_positions
+    from gazewatch.sources.documents import occurrences
 
     texts = ["", "aaaa", "xaabaaba", "ABABAba", "a.a.A.b", r"\E\E q\e", "[x][X]", "aa"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -138,9 +131,38 @@ def test_overlapping_occurrences(spark, keyword):
         for p in range(len(t))
         if t.lower().startswith(keyword.lower(), p)
     }
-    got = {(r.id, r.position) for r in keyword_positions(docs, "id", keyword).collect()}
+    got = {(r.id, r.position) for r in occurrences(docs, keyword).collect()}
     assert got == expected
     counts = docs.select("id", X.keyword_count(F.col("text"), keyword).alias("n")).collect()
     assert {r.id: r.n for r in counts} == {
         i: sum(e[0] == i for e in expected) for i in range(len(texts))
     }
+
+
+def test_occurrences_belong_to_their_row(spark):
+    """Rows that share an id do not mix, and a letter that grows when folded moves nothing."""
+    from gazewatch.sources.documents import line_offsets, occurrences
+
+    texts = ["a enen b", "xxxxx enen", "İİİ\nenen", "enİEN\nİ enen ENEN", "İ", "", None, "enen" * 700]
+    docs = spark.createDataFrame([(2, t) for t in texts], "id int, text string")
+    got = sorted((r.text, r.position, r.line_no, r.text[r.position : r.position + 4].lower()) for r in occurrences(docs, "enen").collect())
+    want = sorted(
+        (t, p, t[:p].count("\n"), "enen")
+        for t in texts
+        if t
+        for p in range(len(t))
+        if t[p : p + 4].lower() == "enen"
+    )
+    assert got == want
+    found = sorted((r.line_no, r.n_chars, r.line_offset) for r in line_offsets(docs, "id").collect())
+    lines = [t.split("\n") for t in texts if t is not None]
+    assert found == sorted((i, len(x), sum(len(y) + 1 for y in ls[:i])) for ls in lines for i, x in enumerate(ls))
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 1000])
+def test_sums_before(spark, size):
+    from gazewatch.functions.arrays import sums_before
+
+    numbers = [i * 7 % 11 for i in range(size)]
+    frame = spark.createDataFrame([(numbers,)], "n array<bigint>")
+    assert frame.select(sums_before(F.col("n"))).first()[0] == [sum(numbers[:i]) for i in range(size)]
