@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,30 +50,66 @@ def join_rules(
     return left.join(right, (left["secao"] == right["_secao"]) & condition, how).drop("_secao")
 
 
+_STAGING: ContextVar[str | None] = ContextVar("staging", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it in the session.
+    """The folder all executors can reach, as the cluster names it in the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return folder.rstrip("/")
+
 
-    A session without that setting uses its warehouse, which executors share as well.
+@contextmanager
+def staging(spark: SparkSession, folder: str) -> Iterator[None]:
+    """What is staged inside goes to the folder, which is removed once all is done.
+
+    If it fails, the folder stays, and the next try under the same name begins by removing it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return (folder or f"{warehouse}/_staged").rstrip("/")
+    drop_folder(spark, folder)
+    token = _STAGING.set(folder)
+    try:
+        yield
+    finally:
+        _STAGING.reset(token)
+    drop_folder(spark, folder)
 
 
-def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several scans will read, and read it back.
 
     The copy outlives lost executors, cuts the lineage, and gives later scans
-    column pruning, filter push-down and true sizes to plan with. A run names its own
-    folder, whose copies it replaces and drops; others go to the shared folder.
+    column pruning, filter push-down and true sizes to plan with. A run has a folder of its
+    own for its copies; others go to the shared folder.
     """
     spark = df.sparkSession
-    path = f"{folder}/{name}" if folder else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{_STAGING.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of staged copies, in whatever store it is."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder in one step; its new place must not exist."""
+    place, store = _place(spark, path)
+    target, _ = _place(spark, to)
+    store.mkdirs(target.getParent())
+    if store.exists(target) or not store.rename(place, target):
+        raise RuntimeError(f"{to} is already there")
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names inside a folder; none if it does not exist."""
+    place, store = _place(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []

@@ -150,10 +150,17 @@ def act_bounds(hits: DataFrame) -> DataFrame:
     """Turn the neighbouring titles into ``start_line``, ``end_line`` and ``title``.
 
     Without a title in reach the act starts at the hit itself; without a next
-    title it runs to the end of the file.
+    title it runs to the end of the file. Where lines tell the limits of their entry
+    (``from_line``, ``to_line``), titles outside of it are not in reach, and it ends the act.
     """
+    end = F.col("n_lines")
+    if "from_line" in hits.columns:
+        end = F.col("to_line")
+        inside = F.col("opening.line_no") >= F.col("from_line")
+        hits = hits.withColumn("opening", F.when(inside, F.col("opening")))
     untitled = F.col("opening").isNull()
     until = F.when(untitled, F.col("next_title")).otherwise(F.col("opening.next_title"))
+    until = F.when(until < end, until).otherwise(end)
     return hits.select(
         *FILE,
         "filter_ord",
@@ -162,7 +169,7 @@ def act_bounds(hits: DataFrame) -> DataFrame:
         "keyword",
         "line_no",
         F.coalesce(F.col("opening.line_no"), F.col("line_no")).alias("start_line"),
-        F.coalesce(until, F.col("n_lines")).alias("end_line"),
+        until.alias("end_line"),
         F.col("opening.title").alias("title"),
     )
 
@@ -279,6 +286,7 @@ def publications(acts: DataFrame, fallback_chars: int = fixed.FALLBACK_CHARS) ->
     """The stored form of a match. Without any title only so much of the text is kept."""
     untitled_text = F.substring("full_text", 1, fallback_chars)
     return acts.select(
+        *[c for c in ("id",) if c in acts.columns],
         "edition_date",
         "filter_ord",
         F.col("nome").alias("filter_name"),

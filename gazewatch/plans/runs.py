@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from urllib.parse import quote
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 
 from gazewatch import fixed, schemas
 from gazewatch.functions import dates as D
-from gazewatch.functions.sizing import drop_folder, stage
+from gazewatch.functions.sizing import stage, staging
 from gazewatch.operators import digest as G
 from gazewatch.operators import report, select
-from gazewatch.plans.search import find_matches
-from gazewatch.sinks.tables import Tables
+from gazewatch.plans.search import find_acts, with_texts
+from gazewatch.sinks.tables import Tables, with_ids
 from gazewatch.sources.archives import archive_entries, entry_pages
 from gazewatch.sources.pages import page_lines
 
@@ -31,6 +32,8 @@ class Settings:
     prefix: str = "[DOU]"
     heartbeat_hours: tuple[int, int] = fixed.HEARTBEAT_HOURS
     send_digest: bool = True
+    #: Acts end where their archive member or page ends.
+    entry_scoped: bool = False
 
 
 @dataclass(frozen=True)
@@ -117,36 +120,40 @@ def process(
     run_id: str,
     page_text: DataFrame | None,
     settings: Settings,
+    days: Collection[date] | None = None,
 ) -> Outcome:
     """Read, search and store. Matches are stored before the ledger names their files.
 
     A failure in between therefore repeats work instead of losing matches, and the
     repetition replaces the partitions of the same run. The anti join comes before
-    any content is read, and content is read once into a staged table of lines.
+    any content is read, and content is read once into a staged table of lines. ``days``
+    are those that the files can be in the ledger for, if that is known.
     """
     tables.begin(run_id)
-    ledger = tables.known_files(run_id)
-    fresh = select.new_files(select.of_rule_sections(chosen, rules), ledger)
+    # Archives are found under their names in an escaped form that any store takes.
     work = f"{tables.path('_work')}/{quote(run_id, safe='')}"
-    new = stage(select.first_listing(fresh.select(*schemas.FILES.names)), "files", work)
-
-    pages = stage(edition_pages(new, page_text), "pages", work)
-    failed = stage(failures(new, pages), "failed", work)
-    read = new.join(failed.select("file_name"), "file_name", "left_anti")
-    good = pages.where("err IS NULL").join(failed.select("file_name"), "file_name", "left_anti")
-    lines = stage(page_lines(good.drop("err")), "lines", work)
-
-    allowed = None
-    if settings.claim != "all_filters":
-        allowed = select.claims(read, rules, settings.claim)
-    found = find_matches(
-        lines, rules, back=settings.back, forward=settings.forward, allowed=allowed
-    )
-    matches = tables.put_matches(found, run_id)
-    tables.put_quarantine(failed, run_id)
-    outcome = Outcome(run_id, tables.put_processed(read, run_id), matches)
-    drop_folder(spark, work)
-    return outcome
+    with staging(spark, work):
+        ledger = tables.known_files(run_id, days)
+        fresh = select.new_files(select.of_rule_sections(chosen, rules), ledger)
+        new = stage(select.first_listing(fresh.select(*schemas.FILES.names)), "files")
+
+        pages = stage(edition_pages(new, page_text), "pages")
+        failed = stage(failures(new, pages), "failed")
+        read = new.join(failed.select("file_name"), "file_name", "left_anti")
+        good = pages.where("err IS NULL").join(failed.select("file_name"), "file_name", "left_anti")
+        lines = stage(page_lines(good.drop("err"), settings.entry_scoped), "lines")
+
+        allowed = None
+        if settings.claim != "all_filters":
+            allowed = select.claims(read, rules, settings.claim)
+        acts = find_acts(lines, rules, back=settings.back, forward=settings.forward, allowed=allowed)
+        # Acts are numbered as short rows, and the run's ids set aside, before any text is fetched.
+        acts = stage(acts.withColumnRenamed("file_name", "source_file"), "acts")
+        numbered = with_ids(acts, tables.reserve("matches", acts.count(), run_id) - 1)
+        found = with_texts(numbered.withColumnRenamed("source_file", "file_name"), lines)
+        matches = tables.put_matches(found, run_id)
+        tables.put_quarantine(failed, run_id)
+        return Outcome(run_id, tables.put_processed(read, run_id), matches)
 
 
 def edition_pages(files: DataFrame, page_text: DataFrame | None) -> DataFrame:
@@ -154,7 +161,7 @@ def edition_pages(files: DataFrame, page_text: DataFrame | None) -> DataFrame:
     pages = entry_pages(archive_entries(files))
     if page_text is None:
         return pages
-    signed = select.with_kind(files).where("kind = 'pdf'").drop("kind", "path")
+    signed = select.with_kind(files).where("kind = 'pdf'").drop("kind", "path", "length")
     held = page_text.select("file_name", "page_no", "text").join(signed, "file_name")
     return pages.unionByName(held.withColumn("err", F.lit(None).cast("string")))
 

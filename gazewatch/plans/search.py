@@ -55,7 +55,14 @@ def find_matches(
     texts, so a table that is costly to derive should be staged first.
     """
     kept = _kept(lines, rules, patterns=patterns, back=back, forward=forward, gate=gate, allowed=allowed)
-    return A.publications(A.with_full_text(kept, lines), fallback_chars)
+    return with_texts(kept, lines, fallback_chars)
+
+
+def with_texts(acts: DataFrame, lines: DataFrame, fallback_chars: int = fixed.FALLBACK_CHARS) -> DataFrame:
+    """Matches with their text, from acts that match; other columns of these are dropped but ``id``."""
+    if "filter_name" in acts.columns:
+        acts = acts.withColumnRenamed("filter_name", "nome")
+    return A.publications(A.with_full_text(acts, lines), fallback_chars)
 
 
 def find_acts(lines: DataFrame, rules: DataFrame, **options) -> DataFrame:

@@ -86,18 +86,31 @@ def _read_members(batches: Iterator[pd.DataFrame], part_bytes: int) -> Iterator[
             yield _table(out, schemas.ENTRIES)
 
 
+# An archive's text is some times as long as the archive.
+UNPACKED = 4
+MOST_TASKS = 100_000
+
+
+def tasks_for(files: DataFrame, part_bytes: int) -> int:
+    """How many tasks read archives, by their lengths: one for each part of the unpacked text."""
+    total = files.agg(F.sum("length")).first()[0] if "length" in files.columns else None
+    if total is None:
+        return int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(MOST_TASKS, total * UNPACKED // part_bytes + 1))
+
+
 def archive_entries(files: DataFrame, tasks: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per XML member of each archive; a file that cannot be read gives an ``err`` row.
 
     Every directory is read once. Neighbouring members of ``part_bytes`` stay together and share
-    one opening of the file. The number of tasks is given outright: names are tiny and would
-    be merged into one partition by their size, but the work behind each is large.
+    one opening of the file. The number of tasks follows from the lengths of the files: names
+    are tiny and would be merged into one partition by their size, but the work behind each is
+    large.
     """
-    tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    archives = files.where(F.endswith(F.col("file_name"), F.lit(".zip"))).select(
-        "file_name", "secao", "edition_date", "path"
-    )
-    index = archives.repartition(tasks, "path").mapInPandas(
+    archives = files.where(F.endswith(F.col("file_name"), F.lit(".zip")))
+    tasks = tasks or tasks_for(archives, part_bytes)
+    named = archives.select("file_name", "secao", "edition_date", "path")
+    index = named.repartition(tasks, "path").mapInPandas(
         lambda batches: _list_members(batches, part_bytes), schemas.ENTRY_INDEX
     )
     spread = index.repartition(tasks, "path", "part").sortWithinPartitions("path", "entry_no")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,15 +76,21 @@ def edition_attributes(files: DataFrame) -> DataFrame:
             F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-MM-dd").alias(
                 "edition_date"
             ),
-            "path",
+            *[c for c in files.columns if c != "file_name"],
         )
         .where("edition_date IS NOT NULL")
     )
 
 
-def stored_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Editions in storage. Only names are listed; no content is read."""
-    paths = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    ).select("path")
-    return edition_attributes(paths)
+# Listings of up to so many days are restricted to names that begin with one of them.
+GLOB_DAYS = 31
+
+
+def stored_files(spark: SparkSession, folder: str, days: Collection[date] | None = None) -> DataFrame:
+    """Editions in storage, of the given days if any are. Only names and lengths are listed; no content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if days is not None and 0 < len(days) <= GLOB_DAYS:
+        names = [form for d in days for form in (f"{d:%Y-%m-%d}-*", f"{d:%Y_%m_%d}_*")]
+        reader = reader.option("pathGlobFilter", "{" + ",".join(sorted(names)) + "}")
+    files = edition_attributes(reader.load(folder).select("path", "length"))
+    return files if days is None else files.where(F.col("edition_date").isin(*days) if days else F.lit(False))

@@ -62,9 +62,12 @@ def assembled_text(pages: DataFrame, key: str, page: str) -> DataFrame:
     )
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def page_lines(pages: DataFrame, entry_scoped: bool = False) -> DataFrame:
     """Paged text in the common line layout, without ever building a whole file.
 
+    With ``entry_scoped`` each line also tells where its page begins and ends, ``from_line`` and
+    ``to_line``; acts then stay inside their page.
+
     Pages are separated by one empty line, which is put before each page here; the one
     before the first page falls away. Pages are placed by their numbers of lines before
     they are cut, so single lines are neither shuffled nor sorted.
@@ -76,8 +79,9 @@ def page_lines(pages: DataFrame) -> DataFrame:
         *file,
         (F.col("_total") - 1).alias("n_lines"),
         "_begin",
+        "_size",
         F.posexplode(F.concat(F.array(F.lit("")), split_lines(F.col("text")))).alias("_at", "line"),
     )
-    return cut.select(
-        *file, "n_lines", (F.col("_begin") + F.col("_at") - 1).cast("bigint").alias("line_no"), "line"
-    ).where("line_no >= 0")
+    line_no = (F.col("_begin") + F.col("_at") - 1).cast("bigint").alias("line_no")
+    limits = [F.col("_begin").cast("bigint").alias("from_line"), (F.col("_begin") + F.col("_size") - 1).cast("bigint").alias("to_line")]
+    return cut.select(*file, "n_lines", line_no, "line", *(limits if entry_scoped else [])).where("line_no >= 0")

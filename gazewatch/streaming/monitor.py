@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +30,20 @@ def arriving_files(spark: SparkSession, folder: str, files_per_batch: int | None
     )
     if files_per_batch:
         arrived = arrived.option("maxFilesPerTrigger", files_per_batch)
-    return edition_attributes(arrived.load(folder).select("path"))
+    return edition_attributes(arrived.load(folder).select("path", "length"))
 
 
 def drop_repeats(arrivals: DataFrame, within: str = "2 days") -> DataFrame:
-    """Deduplicate names with bounded state; the ledger covers repeats that come later."""
+    """Deduplicate names with bounded state: a name is remembered for a while after it arrives.
+
+    Event time is the moment a name is seen, so an edition of long ago that arrives now is not
+    late. The ledger covers repeats that come after a name is forgotten.
+    """
     return (
-        arrivals.withColumn("edition_ts", F.col("edition_date").cast("timestamp"))
-        .withWatermark("edition_ts", within)
+        arrivals.withColumn("seen_at", F.current_timestamp())
+        .withWatermark("seen_at", within)
         .dropDuplicatesWithinWatermark(["file_name"])
-        .drop("edition_ts")
+        .drop("seen_at")
     )
 
 
@@ -64,21 +68,29 @@ def search_batch(
         spark = batch.sparkSession
         run_id = f"{name}-{number}"
         moment = clock()
-        listed = stored_files(spark, folder)
+        quarantined = tables.written("quarantine").select("file_name", "edition_date").distinct()
         # Without the ledger of an earlier try of this batch, which is about to be replaced.
-        failed = select.new_files(tables.written("quarantine"), tables.known_files(run_id))
-        failed = failed.select("file_name").distinct()
-        again = listed.join(failed, "file_name", "left_semi")
-        wanted = batch.unionByName(again).dropDuplicates(["file_name"])
-        days = wanted.select("edition_date", "secao").distinct()
-        present = listed.join(days, ["edition_date", "secao"], "left_semi")
+        failed = select.new_files(quarantined, tables.known_files(run_id, _days(quarantined)))
+        # Folder and ledger are looked at for the days of the batch and of failed files only.
+        days = _days(batch.select("edition_date").union(failed.select("edition_date")))
+        listed = stored_files(spark, folder, days)
+        again = listed.join(failed.select("file_name"), "file_name", "left_semi")
+        wanted = batch.unionByName(again).groupBy("file_name").agg(
+            *[F.min_by(c, "path").alias(c) for c in schemas.FILES.names if c != "file_name"]
+        )
+        of_sections = wanted.select("edition_date", "secao").distinct()
+        present = listed.join(of_sections, ["edition_date", "secao"], "left_semi")
         chosen = select.prefer_archives(wanted, present)
-        outcome = process(spark, chosen, tables, rules, run_id, page_text, settings)
+        outcome = process(spark, chosen, tables, rules, run_id, page_text, settings, days)
         finish(spark, tables, rules, outcome, moment.date(), moment, settings)
 
     return search
 
 
+def _days(files: DataFrame) -> list[date]:
+    return sorted(r[0] for r in files.select("edition_date").distinct().collect() if r[0])
+
+
 def monitor(
     spark: SparkSession,
     folder: str,
@@ -90,21 +102,25 @@ def monitor(
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     page_text: DataFrame | None = None,
     files_per_batch: int | None = None,
+    remember: str = "2 days",
 ) -> StreamingQuery:
     """Search whatever arrived since the last call, then stop. Meant to be run periodically.
 
-    A call that finds nothing new still writes its run row, tries files in quarantine
+    A name that arrives again within ``remember``, in whatever folder, is dropped by the state
+    of the stream; one that arrives later by the ledger. A call that finds nothing new still writes its run row, tries files in quarantine
     again, and sends the heartbeat if it is due.
     """
     work = search_batch(folder, tables, rules, name, settings, clock, page_text)
     batches = []
 
     def count_and_work(batch: DataFrame, number: int) -> None:
-        batches.append(number)
-        work(batch, number)
+        # A batch of nothing but repeats, or one that only forgets names, is no run.
+        if not batch.isEmpty():
+            batches.append(number)
+            work(batch, number)
 
     query = (
-        arriving_files(spark, folder, files_per_batch)
+        drop_repeats(arriving_files(spark, folder, files_per_batch), remember)
         .writeStream.queryName(name)
         .foreachBatch(count_and_work)
         .option("checkpointLocation", checkpoint)
