@@ -83,14 +83,14 @@ def _titles(patterns=fixed.TITLE_PATTERNS) -> str:
   FROM (SELECT *, {_trim('line')} AS s FROM plain_lines))"""
 
 
-def _bounds(back: int = Q.BACK, forward: int = Q.FORWARD) -> str:
+def _bounds(back: int = Q.BACK, forward: int = Q.FORWARD, unit: str = "file_name") -> str:
     return f"""ends AS (
-  SELECT *, min(CASE WHEN title IS NOT NULL THEN line_no END) OVER (PARTITION BY file_name
+  SELECT *, min(CASE WHEN title IS NOT NULL THEN line_no END) OVER (PARTITION BY {unit}
     ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND {forward - 1} FOLLOWING) AS next_title
   FROM titled),
 starts AS (
   SELECT *, last_value(CASE WHEN title IS NOT NULL THEN line_no END IGNORE NULLS) OVER (
-    PARTITION BY file_name ORDER BY line_no ROWS BETWEEN {back - 1} PRECEDING AND CURRENT ROW) AS title_line
+    PARTITION BY {unit} ORDER BY line_no ROWS BETWEEN {back - 1} PRECEDING AND CURRENT ROW) AS title_line
   FROM ends),
 hits AS (
   SELECT s.file_name, s.secao, s.edition_date, s.n_lines, s.line_no, s.next_title, s.title_line,
@@ -133,8 +133,8 @@ def _columns(line_no: str = "line_no") -> str:
   substr(full_text, 1, 500) AS text_snippet, full_text"""
 
 
-def _search(*, base: str = ACTS, rules=gazette.RULES, patterns=fixed.TITLE_PATTERNS) -> str:
-    parts = [base, _rules("rules", rules), _titles(patterns), _bounds(), GATE, _texts()]
+def _search(*, base: str = ACTS, rules=gazette.RULES, patterns=fixed.TITLE_PATTERNS, unit: str = "file_name") -> str:
+    parts = [base, _rules("rules", rules), _titles(patterns), _bounds(unit=unit), GATE, _texts()]
     return ",\n".join(parts) + f",\nmatches AS (SELECT {_columns()} FROM ranked WHERE nth = 1)"
 
 
@@ -173,6 +173,17 @@ def _restricted(condition: str) -> str:
     return f"SELECT * FROM matches WHERE source_file IN (SELECT file_name FROM {condition})"
 
 
+# Lines are numbered in the file; an entry's last line stands for that of the file.
+ENTRIES = """placed AS (
+  SELECT conv_id, turn, string_split(text, chr(10)) AS parts,
+    coalesce(sum(len(string_split(text, chr(10))) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM kept),
+plain_lines AS (
+  SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS file_name, turn AS entry, 'DO1' AS secao, DATE '2024-01-01' AS edition_date,
+    CAST(base + i - 1 AS BIGINT) AS line_no, parts[i] AS line, CAST(base + len(parts) AS BIGINT) AS n_lines
+  FROM placed p, LATERAL (SELECT unnest(range(1, len(p.parts) + 1)) AS i) x)"""
+
+
 def _spelled(expr: str) -> str:
     for digit, syllable in enumerate(Q.SYLLABLES):
         expr = f"replace({expr}, '{digit}', '{syllable}')"
@@ -202,6 +213,9 @@ ORACLE: dict[str, str] = {
     "document_matches": "WITH "
     + _search(base=DOCUMENTS, rules=Q.DOCUMENT_RULES, patterns=Q.DOCUMENT_TITLES)
     + " SELECT * FROM matches",
+    "entry_scoped_matches": "WITH "
+    + _search(base=f"{_pages},{ENTRIES}", rules=Q.ENTRY_RULES, patterns=Q.ENTRY_TITLES, unit="file_name, entry")
+    + " SELECT * FROM matches",
     "asof_title_back": f"""{HITS} SELECT file_name, filter_ord, keyword_ord, line_no, title_line,
       opening_title AS title FROM hits""",
     "asof_title_next": f"{HITS} SELECT file_name, filter_ord, keyword_ord, line_no, next_title FROM hits",

@@ -53,6 +53,8 @@ PATTERN_RULES = (
     R.FilterRule("words", "DO2", "", (r"re:(sufer|delibera\w+) item \d+5\z", r"re:\AT.{3,9}ato re")),
     R.FilterRule("any", "DO3", "", (r"re:\d{4,}|DEZEMBRO", r"re:ins?tru[cç][aã]o", r"re:item 1?2+3")),
 )
+ENTRY_RULES = (R.FilterRule("en", "DO1", "the", ("ing", "tion")), R.FilterRule("de", "DO1", "die", ("enen",)))
+ENTRY_TITLES = (r"\A[ET]\w+\s+\w+", r"\A[DIL]\w+\s+\w+\s+\w+")
 DOCUMENT_TITLES = (r"\AE\w+\s+\w+", r"\A[DT]\w+\s+\w+")
 
 
@@ -127,6 +129,14 @@ def document_matches(spark, folder):
     )
 
 
+@query
+def entry_scoped_matches(spark, folder):
+    """Conversations as files, turns as their entries: acts end with the turn they are in."""
+    lines = stage(pages.page_lines(_paged(spark, folder), entry_scoped=True), "lines")
+    rules = R.rules_frame(spark, ENTRY_RULES)
+    return search.find_matches(lines, rules, patterns=ENTRY_TITLES, back=BACK, forward=FORWARD)
+
+
 @query
 def asof_title_back(spark, folder):
     return _hits(spark, folder).select(
@@ -273,6 +283,16 @@ def _page_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", "text")
 
 
+def _paged(spark: SparkSession, folder: str) -> DataFrame:
+    return _page_text(spark, folder).select(
+        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("file_name"),
+        F.lit("DO1").alias("secao"),
+        F.lit(date(2024, 1, 1)).alias("edition_date"),
+        F.col("turn").alias("page_no"),
+        "text",
+    )
+
+
 @query
 def paged_text_assemble(spark, folder):
     return pages.assembled_text(_page_text(spark, folder), "conv_id", "turn")
@@ -280,14 +300,7 @@ def paged_text_assemble(spark, folder):
 
 @query
 def paged_text_lines(spark, folder):
-    paged = _page_text(spark, folder).select(
-        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("file_name"),
-        F.lit("DO1").alias("secao"),
-        F.lit(date(2024, 1, 1)).alias("edition_date"),
-        F.col("turn").alias("page_no"),
-        "text",
-    )
-    lines = pages.page_lines(paged)
+    lines = pages.page_lines(_paged(spark, folder))
     return lines.select("file_name", "n_lines", "line_no", "line")
 
 

@@ -170,7 +170,8 @@ class Tables:
     def begin(self, run_id: str) -> None:
         """Take back what an earlier try of a run had declared done, the ledger first."""
         for name in ("processed_files", "runs", "digests", "digest_items"):
-            self._replace(name, self.spark.createDataFrame([], LAYOUT[name][0]), run_id)
+            if sizing.folder_names(self.spark, self._run_folder(name, run_id)):
+                self._replace(name, self.spark.createDataFrame([], LAYOUT[name][0]), run_id)
         held = self.written("matches_by_day").where(F.col("run_id") == run_id).select("edition_date").distinct()
         for row in held.collect():
             self.compact(row.edition_date, without=run_id)

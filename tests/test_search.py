@@ -202,10 +202,10 @@ def test_one_long_file_is_spread_over_tasks(spark, monkeypatch):
     docs = [("f", "DO1", None, document(random.Random(7), 3000, 0.05))]
     lines = search.document_lines(documents_frame(spark, docs))
     rules = rules_frame(spark, RULES)
-    switches = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    switches = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
     before = {k: spark.conf.get(k) for k in switches}
     try:
-        for key, value in zip(switches, ("false", "-1")):
+        for key, value in zip(switches, ("false", "-1", "8")):
             spark.conf.set(key, value)
         hits = search.gated_hits(lines, rules)
         found_in = hits.groupBy(F.spark_partition_id().alias("p")).count().collect()

@@ -97,7 +97,7 @@ def test_attributes_come_from_the_name(spark):
 def test_listing_reads_no_content(spark, tmp_path):
     editions.archive(tmp_path, "2025-01-10-DO1.zip", ["a"])
     plan = listing.stored_files(spark, str(tmp_path))._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<path:string>" in plan
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
 @pytest.mark.parametrize("tile", [4, 1024])
@@ -155,3 +155,55 @@ def test_rules_from_json(spark, tmp_path):
     assert sorted(R.read_rules(spark, str(tmp_path / "rules")).collect()) == sorted(
         R.rules_frame(spark).collect()
     )
+
+
+def test_archives_as_a_data_source(spark, tmp_path):
+    from gazewatch.sources import archive_source
+
+    archive_source.register(spark)
+    for day in (8, 9, 10):
+        editions.archive(tmp_path, f"2025-01-{day:02}-DO1.zip", [f"ato {day} {i} " + "x" * 50 for i in range(5)], [("a.txt", "no")])
+    big = [f"grande {i} {'abc' * i}" for i in range(300)]
+    editions.archive(tmp_path / "sub", "2025-01-10-DO2.zip", big)
+    editions.broken(tmp_path, "2025-01-11-DO3.zip")
+    editions.broken(tmp_path, "2025-13-11-DO3.zip")
+
+    frame = spark.read.format("edition_archives").option("partBytes", 20_000).load(str(tmp_path))
+    rows = frame.collect()
+    whole = archives.archive_entries(listing.stored_files(spark, str(tmp_path))).collect()
+    told = lambda rows: sorted((r.file_name, r.secao, str(r.edition_date), r.entry_no or -1, r.xml or "", r.err or "") for r in rows)
+    assert told(rows) == told(whole) and len(rows) == 316
+    # Tasks follow the bytes: one archive is read by several, small ones share a task.
+    lengths = {a.file_name: a.length for a in archive_source.archives_in(str(tmp_path))}
+    parts = archive_source.planned(archive_source.archives_in(str(tmp_path)), 20_000)
+    assert sum("2025-01-10-DO2.zip" in [a.file_name for a in p.archives] for p in parts) == -(-lengths["2025-01-10-DO2.zip"] // 20_000) > 1
+    assert frame.rdd.getNumPartitions() == len(parts) < len(lengths) + 10
+    # Without the column no content is read; the broken member of an archive is not noticed.
+    names = spark.read.format("edition_archives").schema("file_name string, entry_no bigint").load(str(tmp_path))
+    assert names.where("entry_no IS NOT NULL").count() == 315
+    with pytest.raises(Exception, match="no column"):
+        spark.read.format("edition_archives").schema("size bigint").load(str(tmp_path)).count()
+    # Filters leave archives out, and SQL reads it.
+    spark.sql(f"CREATE TEMPORARY VIEW editions_read USING edition_archives OPTIONS (path '{tmp_path}')")
+    got = spark.sql("SELECT count(*) FROM editions_read WHERE secao = 'DO1' AND edition_date = DATE'2025-01-09' AND entry_no > 1")
+    assert got.first()[0] == 3
+    reader = archive_source.EditionArchives({"path": str(tmp_path)}).reader(archives.schemas.ENTRIES)
+    left = list(reader.pushFilters([archive_source.EqualTo(("secao",), "DO1"), archive_source.EqualTo(("entry_no",), 1)]))
+    assert len(left) == 1 and {a.file_name for p in reader.partitions() for a in p.archives} == {f"2025-01-{d}-DO1.zip" for d in ("08", "09", "10")}
+
+
+def test_tasks_follow_the_bytes_of_archives(spark, tmp_path):
+    editions.archive(tmp_path, "2025-01-10-DO1.zip", [f"ato {i}" for i in range(300)])
+    files = listing.stored_files(spark, str(tmp_path))
+    length = files.first().length
+    assert length == (tmp_path / "2025-01-10-DO1.zip").stat().st_size
+    assert archives.tasks_for(files, 1000) == length * archives.UNPACKED // 1000 + 1
+    assert archives.tasks_for(files, 1 << 30) == 1
+
+
+def test_listings_of_days(spark, tmp_path):
+    for name in ("2025-01-08-DO1.zip", "2025-01-10-DO1E.zip", "2025_01_10_ASSINADO_do1.pdf"):
+        (tmp_path / name).write_bytes(b"x")
+    found = lambda days: {r.file_name for r in listing.stored_files(spark, str(tmp_path), days).collect()}
+    assert found([date(2025, 1, 10)]) == {"2025-01-10-DO1E.zip", "2025_01_10_ASSINADO_do1.pdf"}
+    assert len(found(None)) == 3 and found([]) == set() and found([date(2020, 1, 1)]) == set()
