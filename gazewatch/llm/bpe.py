@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ from gazewatch.llm.memo import PieceMemo, laid_out, white_space
 
 BATCH_BYTES = 500_000
 MEMO_WORDS = 300_000
+PLACE_BITS = 40
+PLACE_MASK = (1 << PLACE_BITS) - 1
 
 
 def byte_letters() -> list[str]:
@@ -42,8 +45,9 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     symbols have changed meanwhile are passed over.
     """
     n = len(symbols)
+    # An entry is one number, the rank above the place; what it stands for is seen at the place.
     heap = [
-        (rank, i, pair)
+        rank << PLACE_BITS | i
         for i, pair in enumerate(zip(symbols, symbols[1:], strict=False))
         if (rank := ranks.get(pair)) is not None
     ]
@@ -51,21 +55,22 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
         return n
     heapq.heapify(heap)
     symbols = list(symbols)
-    after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
+    after, before, merges = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), 0
     while heap:
-        _, i, (left, right) = heapq.heappop(heap)
+        entry = heapq.heappop(heap)
+        i = entry & PLACE_MASK
         j = after[i]
-        if symbols[i] != left or j >= n or symbols[j] != right:
+        if not symbols[i] or j >= n or ranks.get((symbols[i], symbols[j])) != entry >> PLACE_BITS:
             continue
-        symbols[i], symbols[j] = left + right, ""
+        symbols[i], symbols[j] = symbols[i] + symbols[j], ""
         after[i] = k = after[j]
         merges += 1
         if k < n:
             before[k] = i
-            if (rank := ranks.get(pair := (symbols[i], symbols[k]))) is not None:
-                heapq.heappush(heap, (rank, i, pair))
-        if (h := before[i]) >= 0 and (rank := ranks.get(pair := (symbols[h], symbols[i]))) is not None:
-            heapq.heappush(heap, (rank, h, pair))
+            if (rank := ranks.get((symbols[i], symbols[k]))) is not None:
+                heapq.heappush(heap, rank << PLACE_BITS | i)
+        if (h := before[i]) >= 0 and (rank := ranks.get((symbols[h], symbols[i]))) is not None:
+            heapq.heappush(heap, rank << PLACE_BITS | h)
     return n - merges
 
 

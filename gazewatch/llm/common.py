@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazewatch.functions.sizing import shared_folder
+
 #: The characters that end a word: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
@@ -58,30 +60,27 @@ def partitions(spark: SparkSession) -> int:
 class Memo(dict):
     """Results by word, computed for all unknown words of a batch at once.
 
-    It holds at most `bound` words; beyond that it starts anew, so a task's memory does
-    not depend on its input.
+    It holds at most `bound` words of `most_chars` in all; beyond that it starts anew with the
+    words of the batch, so a task's memory does not depend on its input.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], bound: int):
+    def __init__(self, compute: Callable[[list[str]], Iterable], bound: int, most_chars: int = 16 << 20):
         super().__init__()
-        self.compute, self.bound = compute, bound
+        self.compute, self.bound, self.most_chars, self.held = compute, bound, most_chars, 0
 
     def learn(self, words: set[str]) -> None:
         unknown = [w for w in words if w not in self]
-        if len(self) + len(unknown) > self.bound:
+        if len(self) + len(unknown) > self.bound or self.held + sum(map(len, unknown)) > self.most_chars:
             self.clear()
-            unknown = list(words)
+            self.held, unknown = 0, list(words)
         if unknown:
+            self.held += sum(map(len, unknown))
             self.update(zip(unknown, self.compute(unknown), strict=True))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for such files: the one in spark.checkpoint.dir.
-
-    Only where a session names none, as in tests, it is a folder under the warehouse.
-    """
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints").rstrip("/")
+    """The folder that the cluster shares for such files: the one in spark.checkpoint.dir."""
+    return shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -31,26 +31,58 @@ def white_space(data: np.ndarray) -> np.ndarray:
     return white
 
 
+class Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, dtype):
+        self.held, self.n = np.zeros(1024, dtype=dtype), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at):
+        return self.held[at]
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.held):
+            grown = np.zeros(max(end, 2 * len(self.held)), dtype=self.held.dtype)
+            grown[: self.n] = self.held[: self.n]
+            self.held = grown
+        self.held[self.n : end] = values
+        self.n = end
+
+
 class PieceMemo:
     """Maps pieces (runs of bytes) to sequences of numbers, computing each piece once.
 
-    `compute` gives the numbers of all pieces, one after the other, and how many each has.
-    An open hash table in arrays; pieces are known by 64 bits of hash and as many of check.
-    Beyond `bound` pieces it starts anew, so its memory does not grow with the input.
+    `compute` gives the numbers of all pieces, one after the other, and how many each has;
+    a piece has no more of them than bytes. An open hash table in arrays; pieces are known by
+    64 bits of hash and as many of check. Beyond `bound` pieces, or pieces of `most_bytes` in
+    all, it starts anew, so its memory does not grow with the input, nor with the length of
+    pieces.
     """
 
     BITS = 20
 
-    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bound: int = 500_000):
-        self.compute, self.bound = compute, min(bound, 1 << (self.BITS - 1))
+    def __init__(
+        self,
+        compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+        bound: int = 500_000,
+        most_bytes: int = 16 << 20,
+    ):
+        self.compute, self.bound, self.most_bytes = compute, min(bound, 1 << (self.BITS - 1)), most_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(1 << self.BITS, dtype=np.uint64)
         self.slots = np.zeros(1 << self.BITS, dtype=np.int32)
-        self.checks = np.zeros(0, dtype=np.uint64)
-        self.begins, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+        self.checks = Grown(np.uint64)
+        self.begins, self.sizes = Grown(np.int64), Grown(np.int64)
+        self.flat, self.held_bytes = Grown(np.uint32), 0
+
+    def _full(self, pieces: int, n_bytes: int) -> bool:
+        return len(self.checks) + pieces > self.bound or self.held_bytes + n_bytes > self.most_bytes
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         found, mask = np.full(len(keys), -1, dtype=np.int64), (1 << self.BITS) - 1
@@ -97,26 +129,29 @@ class PieceMemo:
     def _learn(self, data, starts, ends, keys, checks, found) -> np.ndarray:
         missing = np.flatnonzero(found < 0)
         new, first = np.unique(keys[missing], return_index=True)
-        if len(self.checks) + len(new) > self.bound:
+        if self._full(len(new), int((ends - starts)[missing[first]].sum())):
             self._clear()
             new, first = np.unique(keys, return_index=True)
             missing = np.arange(len(keys))
         first = missing[first]
+        size = int((ends - starts)[first].sum())
+        once = self._full(len(new), size)  # a batch that is too large by itself: used, not kept
+        self.held_bytes += size
         whole = data.tobytes()
         pieces = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         entries = np.arange(len(self.checks), len(self.checks) + len(new))
         self._append(checks[first], *self.compute(pieces))
-        if len(new) > self.bound:  # one batch of very many pieces: used once, not kept
+        if once:
             found = entries[np.searchsorted(new, keys)]
             return found
         self._put(new, entries)
         return self._find(keys)
 
     def _append(self, checks: np.ndarray, numbers: np.ndarray, sizes: np.ndarray) -> None:
-        self.checks = np.concatenate((self.checks, checks))
-        self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, numbers.astype(np.uint32)))
+        self.checks.extend(checks)
+        self.begins.extend(len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.flat.extend(numbers.astype(np.uint32, copy=False))
 
 
 def laid_out(texts: list[bytes], before: bytes = b"") -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -84,34 +85,43 @@ class Pieces:
         for byte, i in enumerate(byte_ids):
             self.bytes[i] = bytes([byte])
         self.fallback = min(s for _, s in pieces.values()) - FALLBACK_PENALTY
+        self.longest = max(4, *map(len, self.bytes))
 
-    def best(self, key: bytes) -> list[int]:
+    def best(self, key: bytes) -> array:
         """The ids of the path with the highest sum of scores.
 
         A character that no piece starts with its own length for can go as bytes, at the
         fallback score. Of equal paths the one whose last differing piece begins earliest
         wins, so the result does not depend on the order of the vocabulary.
         """
-        n, scores, fallback = len(key), self.scores, self.fallback
-        best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
-        best[0], at = 0.0, 0
+        n, scores, fallback, width_of = len(key), self.scores, self.fallback, self.longest + 1
+        # Scores lie in a ring as long as the longest piece; each place keeps how it was reached.
+        ring = [-math.inf] * width_of
+        back, by = array("H", bytes(2 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        ring[0], at = 0.0, 0
         while at < n:
             lead = key[at]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            here, single = best[at], False
+            here, single = ring[at % width_of], False
+            ring[at % width_of] = -math.inf
             for end, piece in self.trie.matches(key, at):
                 single |= end == at + width
-                if (score := here + scores[piece]) > best[end]:
-                    best[end], back[end] = score, (at, piece)
-            if not single and here + fallback > best[at + width]:
-                best[at + width], back[at + width] = here + fallback, (at, -1)
-            at += width
-        ids, end = [], n
+                if (score := here + scores[piece]) > ring[end % width_of]:
+                    ring[end % width_of], back[end], by[end] = score, end - at, piece
+            after = at + width
+            if not single and here + fallback > ring[after % width_of]:
+                ring[after % width_of], back[after], by[after] = here + fallback, width, -1
+            at = after
+        ids, end = array("I"), n
         while end:
-            start, piece = back[end]
-            ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(key[start:end])]
+            start = end - back[end]
+            if by[end] >= 0:
+                ids.append(by[end])
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(key[start:end]))
             end = start
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
 
 def load_pieces(model: str) -> Pieces:
@@ -153,7 +163,8 @@ class Encoder:
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = [self.pieces.best(u) for u in units]
-        return np.array([i for own in ids for i in own], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+        whole = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in ids])
+        return whole, np.array([len(x) for x in ids], dtype=np.int64)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         filled = [i for i, t in enumerate(texts) if t]

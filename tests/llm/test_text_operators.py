@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gazewatch.llm import bpe, iblt, language, licenses, memo, packing, quality, unigram
+from gazewatch.llm.common import Memo
 from gazewatch.llm.queries import vocabulary
 
 ODD = [
@@ -118,6 +119,36 @@ def test_memo_starts_anew_when_full():
     assert len(held.checks) <= 17
 
 
+def test_memo_is_bounded_by_bytes():
+    """Long pieces count for their length; a batch that is too large by itself is not kept."""
+    double = lambda pieces: (np.concatenate([np.full(len(p), len(p)) for p in pieces]), np.array([len(p) for p in pieces]))
+    held = memo.PieceMemo(double, most_bytes=1000)
+    for step in range(40):
+        words = [b"y" * (1 + (step * 7 + i) % 120) for i in range(12 if step % 9 else 40)]
+        data, limits = memo.laid_out(words)
+        numbers, sizes = held.take(data, limits[:-1], limits[1:])
+        assert sizes.tolist() == [len(w) for w in words]
+        assert numbers.tolist() == [len(w) for w in words for _ in w]
+    assert len(held.flat) <= 5000
+    words = Memo(lambda ws: [len(w) for w in ws], bound=100, most_chars=50)
+    for i in range(60):
+        words.learn({"z" * (1 + i % 30)})
+        assert words["z" * (1 + i % 30)] == 1 + i % 30 and sum(map(len, words)) <= 60
+
+
+def test_long_texts_without_blanks():
+    """One text of 60,000 letters with nothing to cut it at, and a text of one letter."""
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("日本語テストé") for _ in range(60_000)), "a" * 30_000]
+    data = [t.encode() for t in texts]
+    for name, own in (("word_bpe_49k.json", bpe.counter), ("byte_bpe_50k.json", packing.byte_encoder)):
+        want = [len(e.ids) for e in library_of(name).encode_batch(texts, add_special_tokens=False)]
+        work = own(vocabulary(name))
+        assert (work.count(data).tolist() if own is bpe.counter else [len(x) for x in work.encode(data)]) == want
+    work = unigram.encoder(vocabulary("piece_bpe_32k.model"))
+    assert [work.decode(ids).decode() for ids in work.encode(data)] == texts
+
+
 def test_counts_of_rows(docs, rows, no_docs):
     got = bpe.count_tokens(docs, vocabulary("word_bpe_49k.json")).collect()
     want = library_of("word_bpe_49k.json").encode_batch([t or "" for _, t in rows], add_special_tokens=False)
