@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazewatch.llm import language, near_dedup, packing, quality, suffix_dedup
-from gazewatch.llm.common import checkpoint_folder, table
+from gazewatch.llm.common import checkpoint_folder, checkpointed, table
 from gazewatch.llm.queries import packed_pieces
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,23 +21,40 @@ STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the threshold table. The verdict is one projection beside the row."""
+    """Documents that pass the threshold table. The verdict is one projection beside the row.
+
+    Null, empty and blank texts are rejected; repeated rows are judged alike; an empty table
+    gives an empty one; other columns than those of documents are dropped.
+    """
     return quality.keep(docs.select(*COLUMNS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence; the rest go."""
+    """Documents whose language is told with confidence; the rest go.
+
+    Null and empty texts are told by declaration and host alone, if at all. Repeated rows are
+    judged alike and count as often in the priors. An empty table gives an empty one.
+    """
     return language.keep_identified(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id.
+
+    Texts without words are near copies of nothing. Rows without an id stay. Of rows with equal
+    id and text the one with the least other columns stays, so a repeated run keeps the same.
+    """
     docs = docs.select(*COLUMNS)
     judged = near_dedup.near_duplicates(docs, percent=STAGE_PERCENT, width=STAGE_SHINGLE)
-    gone = judged.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # Rows that share an id are one node; the first of identical ones stays for all.
-    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    gone = checkpointed(judged.where("NOT kept").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_id", F.struct("doc_id"))
+    # Rows that share an id are one node; of those with one text the least stays for all. Ids
+    # that occur once, nearly all, are told by short rows, and their texts are not exchanged.
+    shared = checkpointed(kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id"))
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    least = kept.join(shared, "_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_least"))
+    single = kept.join(shared, "_id", "left_anti").select(*COLUMNS)
+    return single.unionByName(least.select("doc_id", "text", "_least.*"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +67,11 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 1024 ids over all documents that are left."""
+    """Token sequences of at most 1024 ids over all documents that are left.
+
+    A null text has its closing id only; repeated rows are packed like others; an empty table
+    gives no sequences.
+    """
     return packed_pieces(docs)
 
 
