@@ -104,3 +104,22 @@ def test_null_columns_and_extra_ones(spark, corpus):
     for _, step in corpus_pipeline.STAGES[:4]:
         docs = step(spark, docs, "")
     assert {r.doc_id for r in docs.collect()} == {r[0] for r in corpus[:12]}
+
+
+def test_ties_are_settled_alike_in_every_order(spark, corpus):
+    rows = [(1, corpus[0][1], "en", "b", 5), (1, corpus[0][1], "en", "a", 5), (1, corpus[0][1], None, "a", 5), (1, corpus[1][1], "en", "z", 5)]
+    rows += [(None, corpus[2][1], "en", s, 7) for s in "ba"] + [(2, corpus[3][1], "en", "c", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [
+        sorted(map(repr, corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(r, schema).repartition(n), "").collect()))
+        for r, n in ((rows, 1), (rows[::-1], 3))
+    ]
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
+def test_the_language_stage_drops_rows(spark, tmp_path, corpus):
+    """A row of a language that no row declares goes; the others stay."""
+    strange = " ".join("ki ga wo ni hashi yama kawa sora hana tori".split() * 6)
+    docs = spark.createDataFrame([*corpus[:30], (900, strange, None, None, len(strange))], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert 900 not in kept and kept == {r[0] for r in corpus[:30]}
