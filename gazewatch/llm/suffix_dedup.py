@@ -2,9 +2,10 @@
 
 Every string of LENGTH bytes is dealt by its anchor: the K bytes of the smallest hash
 inside it (its leftmost minimizer). Equal strings have equal anchors at equal places, so
-all copies of a string meet in one shard, and the suffix array of a shard's segments
-decides which strings have an earlier match there. A segment is the stretch of text whose
-strings share one anchor.
+all copies of a string meet in one shard. There the suffixes of the shard's segments are put
+in order, with what neighbours share; the nearest smaller places before and after each in that
+order give its longest previous factor, and strings whose factor is LENGTH long go. A segment
+is the stretch of text whose strings share one anchor.
 """
 
 from __future__ import annotations
@@ -45,50 +46,104 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at `starts` (ascending) in order of their first `length` bytes, ties by place.
+class Suffixes:
+    """The suffixes of some bytes at `starts` (ascending), in order of their first `length` bytes.
 
-    Also tells for each but the first whether it agrees with the one before in all of
-    them. Prefix doubling: ranks by 8 bytes, then by 16, 32 and so on; the length is the
-    sum of some of these, and only the starts are sorted by that sum.
+    `length` is 8 or more. `order` has indices of `starts`, equal suffixes by place. Prefix
+    doubling: ranks by 8 bytes, then by 16, 32 and so on; the length is the sum of some of
+    these, and only the starts are sorted by that sum. The same ranks tell how long
+    neighbours agree.
     """
-    padded = np.concatenate((data, np.zeros(length + 8, dtype=np.uint8)))
-    n = len(padded) - 8
-    keys = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        keys = (keys << np.uint64(8)) | padded[i : i + n]
-    levels, size = {8: _ranks(keys)}, 8
-    while 2 * size <= length:
-        ranks = levels[size]
-        pairs = ranks.copy() << 32
-        pairs[: n - size] |= ranks[size:] + 1
-        size *= 2
-        levels[size] = _ranks(pairs)
-    done, rank = 0, np.zeros(len(starts), dtype=np.int64)
-    for size in sorted(levels, reverse=True):
-        while done + size <= length:
-            rank = _ranks((rank << 32) | levels[size][starts + done])
-            done += size
-    if done < length:
-        rank = _ranks((rank << 32) | levels[8][starts + length - 8])
-    order = np.argsort(rank, kind="stable")
-    return order, rank[order][1:] == rank[order][:-1]
 
+    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int):
+        self.starts, self.length = starts, length
+        self.bytes = padded = np.concatenate((data, np.zeros(length + 8, dtype=np.uint8)))
+        n = len(padded) - 8
+        keys = np.zeros(n, dtype=np.uint64)
+        for i in range(8):
+            keys = (keys << np.uint64(8)) | padded[i : i + n]
+        self.levels, size = {8: _ranks(keys)}, 8
+        while 2 * size <= length:
+            ranks = self.levels[size]
+            pairs = ranks.copy() << 32
+            pairs[: n - size] |= ranks[size:] + 1
+            size *= 2
+            self.levels[size] = _ranks(pairs)
+        done, rank = 0, np.zeros(len(starts), dtype=np.int64)
+        for size in sorted(self.levels, reverse=True):
+            while done + size <= length:
+                rank = _ranks((rank << 32) | self.levels[size][starts + done])
+                done += size
+        if done < length:
+            rank = _ranks((rank << 32) | self.levels[8][starts + length - 8])
+        self.order = np.argsort(rank, kind="stable")
+
+    def common(self) -> np.ndarray:
+        """For each suffix in order how many bytes, `length` at most, it shares with the one before."""
+        at = self.starts[self.order]
+        shared = np.zeros(len(at), dtype=np.int64)
+        a, b, own = at[:-1], at[1:], shared[1:]
+        for size in sorted(self.levels, reverse=True):
+            more = np.arange(len(own))
+            while len(more):
+                more = more[own[more] + size <= self.length]
+                rank, done = self.levels[size], own[more]
+                more = more[rank[a[more] + done] == rank[b[more] + done]]
+                own[more] += size
+        more = np.arange(len(own))
+        while len(more):  # the last few bytes one by one
+            more = more[own[more] < self.length]
+            more = more[self.bytes[a[more] + own[more]] == self.bytes[b[more] + own[more]]]
+            own[more] += 1
+        return shared
+
+
+def previous_smaller(values: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value where the nearest smaller one before it is (-1: nowhere), and the least of
+    `shared` from there on to it; `shared` is between a value and the one before.
+
+    Pointer jumping: a pointer to a larger value goes on to where that one's pointer leads,
+    for all values at once.
+    """
+    at = np.arange(len(values)) - 1
+    least = shared.copy()
+    open_ = np.flatnonzero((at >= 0) & (values[at] > values))
+    while len(open_):
+        over = at[open_]
+        least[open_], at[open_] = np.minimum(least[open_], least[over]), at[over]
+        open_ = open_[(at[open_] >= 0) & (values[at[open_]] > values[open_])]
+    least[at < 0] = 0
+    return at, least
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start how many bytes, `length` at most, also stand at an earlier start, and the
+    index of such a start (-1: none).
+
+    The longest previous factor of a suffix is shared with the nearest smaller place before or
+    after it in suffix order, whichever shares more.
+    """
+    suffixes = Suffixes(data, starts, length)
+    order, shared = suffixes.order, suffixes.common()
+    before, with_before = previous_smaller(order, shared)
+    after, with_after = previous_smaller(order[::-1], np.concatenate(([0], shared[1:][::-1]))[: len(order)])
+    after, with_after = len(order) - 1 - after[::-1], with_after[::-1]  # -1 becomes len(order)
+    later = with_after > with_before
+    factor, source = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), -1, dtype=np.int64)
+    factor[order] = np.where(later, with_after, with_before)
+    found = np.where(later, after, before)
+    some = factor[order] > 0
+    source[order[some]] = order[found[some]]
+    return factor, source
 
-def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start, the index of the start of an earlier match of `length` bytes, or -1.
 
-    The longest previous factor of a suffix is shared with the nearest smaller place before
-    or after it in suffix order. Within a run of suffixes that agree in `length` bytes,
-    places ascend, so the nearest smaller one before it is the neighbour; outside the run,
-    on either side, no common prefix is that long. So the factor reaches `length` just when
-    the neighbour before agrees.
-    """
-    source = np.full(len(starts), -1, dtype=np.int64)
-    if len(starts):
-        order, agrees = suffix_order(data, starts, length)
-        source[order[1:][agrees]] = order[:-1][agrees]
-    return source
+def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each start, the index of an earlier start of the same `length` bytes, or -1: starts
+    whose longest previous factor is that long."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    factor, source = longest_previous_factors(data, starts, length)
+    return np.where(factor >= length, source, -1)
 
 
 # --- segments --------------------------------------------------------------------------

@@ -96,7 +96,7 @@ def test_suffix_order_and_previous_factors(length):
     data = np.frombuffer(("abra cadabra " * 30 + "xyz" * 100 + "abra cadabra " * 9).encode(), dtype=np.uint8)
     starts = np.arange(0, len(data) - length + 1)
     whole = data.tobytes()
-    order, _ = suffix_dedup.suffix_order(data, starts, length)
+    order = suffix_dedup.Suffixes(data, starts, length).order
     assert order.tolist() == sorted(starts.tolist(), key=lambda i: (whole[i : i + length], i))
     source = suffix_dedup.previous_factors(data, starts, length)
     for i in starts:
@@ -105,6 +105,40 @@ def test_suffix_order_and_previous_factors(length):
         assert source[i] < 0 or whole[source[i] : source[i] + length] == whole[i : i + length]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_longest_previous_factors(seed):
+    """Lengths, of eight and more, against the longest match with any earlier start."""
+    draw = np.random.default_rng(seed)
+    n, length = int(draw.integers(1, 140)), int(draw.integers(8, 40))
+    data = draw.integers(97, 97 + draw.integers(1, 4), n + length, dtype=np.uint8)
+    starts = np.flatnonzero(draw.random(n) < 0.8) if seed % 2 else np.arange(n)
+    if seed == 3:
+        data[:] = 97
+    factor, source = suffix_dedup.longest_previous_factors(data, starts, length)
+    whole = data.tobytes()
+
+    def shared(i, j):
+        return next((k for k in range(length) if whole[i + k] != whole[j + k]), length)
+
+    for x, i in enumerate(starts):
+        want = max((shared(i, j) for j in starts[:x]), default=0)
+        assert factor[x] == want
+        assert source[x] < x and (source[x] < 0) == (want == 0)
+        assert source[x] < 0 or shared(i, starts[source[x]]) == want
+
+
+def test_nearest_smaller_values():
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 400):
+        for values in (draw.permutation(n), np.arange(n), np.arange(n)[::-1]):
+            shared = draw.integers(0, 9, n)
+            at, least = suffix_dedup.previous_smaller(values, shared)
+            for i in range(n):
+                before = [j for j in range(i) if values[j] < values[i]]
+                assert at[i] == (before[-1] if before else -1)
+                assert least[i] == (min(shared[before[-1] + 1 : i + 1]) if before else 0)
+
+
 def words_of(text):
     folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", folded)
