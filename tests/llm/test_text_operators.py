@@ -367,9 +367,60 @@ def test_licenses(spark, docs, rows, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def brute_shares(words, weights):
+    """{label: the best share} of all templates around each place of their key, without an index."""
+    found = {}
+    for number, t in enumerate(licenses.TEMPLATES):
+        key, own = licenses.plain_words(t.key), [r for r in licenses.template_words() if r[1] == number]
+        first = min(place for _, _, _, place, mandatory in own if mandatory)
+        total = sum(weights[w] for w, *_ in own)
+        for at in range(len(words)):
+            if words[at : at + len(key)] != key:
+                continue
+            anchor, agreeing = at - first, 0.0
+            for w, _, _, place, _ in own:
+                low = max(0, anchor + place - licenses.SLACK)
+                agreeing += weights[w] * (w in words[low : max(0, anchor + place + licenses.SLACK + 1)])
+            share = round(min(1.0, agreeing / total), 9)
+            if share >= licenses.LEAST_SHARE:
+                found[t.label] = max(found.get(t.label, 0), share)
+    return found
+
+
+def test_notices_are_those_found_without_the_index(spark):
+    """Notices whole, damaged, with words put in and left out, one frequent, in long texts."""
+    draw, texts = random.Random(12), []
+    for t in licenses.TEMPLATES:
+        texts.append(t.wording)
+        for _ in range(3):
+            words = t.wording.split()
+            for _ in range(draw.randint(0, len(words) // 3)):
+                at = draw.randrange(len(words))
+                words[at : at + draw.randint(0, 1)] = draw.choices(["foo", "license", "copy", "bar", "software"], k=draw.randint(0, 2))
+            texts.append("pad " * draw.randint(0, 40) + " ".join(words) + " pad" * draw.randint(0, 9))
+    texts += [" ".join(draw.sample(texts, 3)) for _ in range(15)] + [licenses.TEMPLATES[4].wording] * 30 + ["license software the"] * 20
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = licenses.word_weights(licenses.word_hits(frame))
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    labels = set()
+    for i, text in enumerate(texts):
+        words, at = license_places(text)
+        shares = brute_shares(words, weights)
+        assert got[i].labels == ",".join(sorted({label for _, label in at} | set(shares)))
+        assert got[i].score == pytest.approx(1.0 if at else max(shares.values(), default=0.0), abs=1e-6)
+        labels |= set(shares)
+    assert labels == {t.label for t in licenses.TEMPLATES} and len(labels) >= 20
+    for t in licenses.TEMPLATES:
+        key = [w in licenses.COMMON for w in licenses.plain_words(t.key)]
+        assert all(not all(key[max(0, i - 1) : i + 2]) for i in range(len(key)))
+    posted = {n for _, n, *_ in licenses.rare_postings(weights)[0]}
+    assert len(posted) == len(licenses.TEMPLATES)
+    assert len(licenses.rare_postings(weights)[0]) < len(licenses.template_words()) / 2
+
+
 def test_licenses_of_a_text_with_many_notices(spark):
-    by_label = {t.label: t.words for t in licenses.TEMPLATES if t.label in ("bsd", "apache", "mpl", "lgpl")}
-    several = " ".join([t.words for t in licenses.TEMPLATES if t.label in ("mit", "bsd")] + ["and licensed under cc by nc 4 0"])
+    by_label = {t.label: " ".join(t.words) for t in licenses.TEMPLATES if t.label in ("bsd", "apache", "mpl", "lgpl")}
+    several = " ".join([t.wording for t in licenses.TEMPLATES if t.label in ("mit", "bsd")] + ["and licensed under cc by nc 4 0"])
     texts = [several, " so ".join([several, *by_label.values()])]
     # The notice is frequent, so its words are the least rare ones of the long texts.
     texts += ["licensed under cc by nc 4 0"] * 60
