@@ -44,7 +44,8 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Letters A-Z are folded. Digits and other ASCII signs count as blanks, and trigrams of
     blanks only do not count, so markup and numbers say nothing.
     """
-    data = np.frombuffer(b"  ".join([*texts, b""]), dtype=np.uint8)
+    # Two blanks before each text and after the last: no trigram has letters of two texts.
+    data = np.frombuffer(b"  ".join([b"", *texts, b""]), dtype=np.uint8)
     letters = data | np.uint8(0x20)
     plain = np.where((letters >= 97) & (letters <= 122), letters, np.where(data >= 128, data, np.uint8(32)))
     wide = plain.astype(np.uint64)
@@ -188,7 +189,8 @@ def identify(
     and null say nothing. Texts without letters (null and empty ones too) have a null
     language and are not kept. Null hosts and suffixes form groups like others. Text stays
     in its scan: what is joined by host are ids and a few numbers, and a host's counts are
-    added up before, so a host with a third of all rows is one row of the priors.
+    added up before, so a host with a third of all rows is one row of the priors. Repeated rows
+    are judged alike, and each counts; an empty table gives none.
     """
     plain = rows.select(
         F.col(doc_id).alias("id"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -457,6 +458,80 @@ def test_languages(spark, no_docs):
     assert language.identify_documents(df.limit(0)).count() == 0
 
 
+def trigrams(text):
+    """Hash buckets of a text's trigrams, by the definition."""
+    fold = lambda b: b | 32 if 97 <= b | 32 <= 122 else b if b >= 128 else 32
+    data, found = [32, 32, *map(fold, (text or "").encode()), 32, 32], []
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        code = a << 16 | b << 8 | c
+        if code != 0x202020:
+            for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+                code = (code ^ code >> 33) * factor % (1 << 64)
+            found.append(code >> 50)
+    return found
+
+
+def brute_posteriors(rows, languages=language.LANGUAGES):
+    """{id: (language, probability, kept)} of (id, text, declared, suffix, host)."""
+    grams = {i: trigrams(t) for i, t, *_ in rows}
+    counts = {name: Counter(g for i, _, said, *_ in rows if said == name for g in grams[i]) for name in languages}
+    size = {name: sum(counts[name].values()) + language.BUCKETS for name in languages}
+    found = {}
+    for i, _, said, suffix, host in rows:
+        others = [(d, s, h) for j, _, d, s, h in rows if j != i and d in languages]
+        logs, fits = [], []
+        for name in languages:
+            share, n = 0.0, len(languages)
+            every = (sum(d == name for d, _, _ in others) + 1) / (len(others) + n)
+            near = [d for d, s, _ in others if s == suffix]
+            of_suffix = (near.count(name) + language.SUFFIX_WEIGHT * every) / (len(near) + language.SUFFIX_WEIGHT)
+            near = [d for d, s, h in others if (s, h) == (suffix, host)]
+            of_host = (near.count(name) + language.HOST_WEIGHT * of_suffix) / (len(near) + language.HOST_WEIGHT)
+            share = sum(math.log((counts[name][g] + 1) / size[name]) for g in grams[i]) / max(1, len(grams[i]))
+            right = language.DECLARED_RIGHT
+            told = 1.0 if said not in languages else right if said == name else (1 - right) / (n - 1)
+            fits.append(share)
+            weight = min(len(grams[i]), language.MOST_GRAMS) * language.EVIDENCE
+            logs.append(share * weight + math.log(told) + math.log(of_host))
+        best = max(range(len(languages)), key=lambda k: logs[k])
+        probability = 1 / sum(math.exp(x - logs[best]) for x in logs)
+        kept = bool(grams[i]) and probability >= language.LEAST_POSTERIOR and fits[best] + math.log(language.BUCKETS) >= language.LEAST_FIT
+        found[i] = (languages[best] if grams[i] else None, probability, kept)
+    return found
+
+
+def test_posteriors_are_those_of_the_definition(spark):
+    """Every row against plain Python; texts of a fifth language are mostly dropped."""
+    draw = random.Random(14)
+    stock = {
+        "en": "the and of that with house water mother which there would",
+        "de": "der und die nicht haus wasser mutter welche würde schön über",
+        "fr": "le et les dans maison eau mère quelle serait où être",
+        "es": "el y los casa agua madre cual sería niño está según",
+        "ja": "ki ga wo ni hashi yama kawa sora hana tori",
+    }
+    rows = []
+    for i in range(160):
+        lang = draw.choice(list(stock)) if i % 4 else "ja"
+        text = " ".join(draw.choices(stock[lang].split() + stock["en"].split()[: i % 3], k=draw.choice([1, 2, 5, 40])))
+        said = draw.choice([lang, lang, None, "xx", draw.choice(list(stock))])
+        rows.append((i, draw.choice([text] * 9 + ["", None, "12 - 3"]), said, draw.choice(["de", "com", None]), draw.choice(["h1", "h2", None])))
+    frame = spark.createDataFrame(rows, "id long, text string, said string, suffix string, host string")
+    want = brute_posteriors(rows)
+    from pyspark.sql import functions as F
+
+    columns = [F.col(c) for c in ("text", "said", "host", "suffix")]
+    for parts in (1, 5):  # batches do not show in the result
+        got = language.identify(frame.repartition(parts, "id"), "id", *columns).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.language, r.kept) == (want[r.id][0], want[r.id][2])
+            assert r.probability == pytest.approx(want[r.id][1], abs=2e-6)
+    kept = Counter((i % 4 == 0, want[i][2]) for i, text, *_ in rows if text and len(text.split()) > 4)
+    assert kept[True, False] > kept[True, True]
+    assert {want[i][2] for i, *_ in rows} == {True, False}
+
+
 def test_evidence_is_fused(spark):
     """Without text that tells, the declared language and the host decide."""
     pages = [(i, f"http://h{i % 2}.example.{'de' if i % 2 else 'com'}/x", f'<html lang="{"de" if i % 2 else "en"}"><p>ok</p>') for i in range(60)]
