@@ -54,11 +54,17 @@ _STAGING: ContextVar[str | None] = ContextVar("staging", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it in the session."""
+    """The folder all executors can reach, as the cluster names it in the session.
+
+    A session on one machine may leave it out; its folder is then beside its tables.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
 
 
 @contextmanager

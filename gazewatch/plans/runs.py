@@ -200,9 +200,10 @@ def finish(
     if outcome.matches and settings.send_digest:
         stored = tables.of_run("matches", outcome.run_id).withColumn("run_date", F.lit(target))
         sections = G.distinct_sections(rules).first()[0]
-        numbered = G.numbered(stored)
-        message = G.digest(numbered, settings.prefix, sections, settings.lookback)
-        items = G.digest_items(numbered)
+        message = G.digest(
+            summary.select("run_date", F.col("matches_found").alias("n_matches")), settings.prefix, sections, settings.lookback
+        )
+        items = G.digest_items(G.numbered(stored))
     else:
         items = None
         message = summary.where("email_sent = 1").select(

@@ -17,7 +17,7 @@ from collections.abc import Collection
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,10 +200,10 @@ class Tables:
         self._replace("quarantine", failures, run_id)
 
     def put_run(self, run: DataFrame, run_id: str) -> None:
-        """Store the run rows, one for each day at most; they are numbered by day."""
-        run = sizing.stage(run, "run_rows")
-        first = self.reserve("runs", run.count(), run_id)
-        numbered = ordered_rank(run, [], ["run_date"], ["notes"], "id").withColumn("id", F.col("id") + first)
+        """Store the run rows, one for each day; they are numbered by day."""
+        days = run.select("run_date").distinct().count()
+        nth = F.row_number().over(Window.orderBy("run_date"))
+        numbered = run.withColumn("id", nth + F.lit(self.reserve("runs", days, run_id) - 1))
         self._replace("runs", numbered.withColumn("run_ts", F.current_timestamp()), run_id)
 
     def put_digest(self, digest: DataFrame, items: DataFrame | None, run_id: str) -> None:

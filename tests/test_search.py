@@ -229,3 +229,23 @@ def test_tables_beyond_the_limits_are_not_broadcast(spark, monkeypatch):
     assert not sizing.fits_broadcast(rules, F.size("keywords"))
     monkeypatch.setattr(sizing, "BROADCAST_BYTES", 10)
     assert not sizing.fits_broadcast(rules)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Session:
+        def __init__(self, master, **settings):
+            self.sparkContext = self
+            self.conf, self.master = self, master
+            self.settings = {"spark.sql.warehouse.dir": "/warehouse", **settings}
+
+        def get(self, name, default=None):
+            return self.settings.get(name, default)
+
+        def getCheckpointDir(self):
+            return None
+
+    assert sizing.shared_folder(Session("local[4]")) == "/warehouse/_staged"
+    assert sizing.shared_folder(Session("yarn", **{"spark.checkpoint.dir": "s3://b/cp/"})) == "s3://b/cp"
+    for master in ("yarn", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            sizing.shared_folder(Session(master))
