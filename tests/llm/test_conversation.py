@@ -163,7 +163,7 @@ def test_one_long_conversation(spark, monkeypatch):
     monkeypatch.setattr(conversation, "TILE_TURNS", 50)
     draw = random.Random(9)
     rows = [(7, t, draw.choice(["user", "assistant"]), draw.choice(["same.", f"{t}.", f"{t}"])) for t in range(400)]
-    rows += [(8, t, "user", "u.") for t in range(300)]
+    rows += [(8, t, "user", "u.") for t in range(300)] + [(8, 300, "assistant", "long " * 300_000)]
     rows += [(9, 2**62, "user", "far."), (9, -(2**62), "assistant", "away.")]
     frame = spark.createDataFrame(rows, SCHEMA)
     got = told(conversation.report(frame, frame).collect())
