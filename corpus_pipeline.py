@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazewatch.llm import language, near_dedup, packing, quality, suffix_dedup
-from gazewatch.llm.common import checkpoint_folder, checkpointed, table
+from gazewatch.llm.common import checkpoint_folder, table
 from gazewatch.llm.queries import packed_pieces
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -46,15 +46,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(*COLUMNS)
     judged = near_dedup.near_duplicates(docs, percent=STAGE_PERCENT, width=STAGE_SHINGLE)
-    gone = checkpointed(judged.where("NOT kept").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_id", F.struct("doc_id"))
-    # Rows that share an id are one node; of those with one text the least stays for all. Ids
-    # that occur once, nearly all, are told by short rows, and their texts are not exchanged.
-    shared = checkpointed(kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id"))
+    gone = judged.where("NOT kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    # Rows that share an id are one node; of those with one text the least stays for all. They
+    # lie where the join has put them, so texts are exchanged once.
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    least = kept.join(shared, "_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_least"))
-    single = kept.join(shared, "_id", "left_anti").select(*COLUMNS)
-    return single.unionByName(least.select("doc_id", "text", "_least.*"))
+    least = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_least"))
+    return least.select("doc_id", "text", "_least.*").select(*COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
