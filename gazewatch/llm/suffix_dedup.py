@@ -39,13 +39,20 @@ LOW = np.uint64(0xFFFFFFFF)
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    """The dense rank of each key."""
+    """The dense rank of each key, in 32 bits: a shard's part has fewer bytes than that."""
     order = np.argsort(keys, kind="stable")
-    ranks = np.empty(len(keys), dtype=np.int64)
-    ranks[order] = np.cumsum(np.concatenate(([0], keys[order][1:] != keys[order][:-1])))
+    ordered = keys[order]
+    steps = np.zeros(len(keys), dtype=np.int32)
+    np.cumsum(ordered[1:] != ordered[:-1], out=steps[1:])
+    ranks = np.empty(len(keys), dtype=np.int32)
+    ranks[order] = steps
     return ranks
 
 
+def _paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.int64) << 32) | low
+
+
 class Suffixes:
     """The suffixes of some bytes at `starts` (ascending), in order of their first `length` bytes.
 
@@ -65,23 +72,23 @@ class Suffixes:
         self.levels, size = {8: _ranks(keys)}, 8
         while 2 * size <= length:
             ranks = self.levels[size]
-            pairs = ranks.copy() << 32
+            pairs = ranks.astype(np.int64) << 32
             pairs[: n - size] |= ranks[size:] + 1
             size *= 2
             self.levels[size] = _ranks(pairs)
-        done, rank = 0, np.zeros(len(starts), dtype=np.int64)
+        done, rank = 0, np.zeros(len(starts), dtype=np.int32)
         for size in sorted(self.levels, reverse=True):
             while done + size <= length:
-                rank = _ranks((rank << 32) | self.levels[size][starts + done])
+                rank = _ranks(_paired(rank, self.levels[size][starts + done]))
                 done += size
         if done < length:
-            rank = _ranks((rank << 32) | self.levels[8][starts + length - 8])
+            rank = _ranks(_paired(rank, self.levels[8][starts + length - 8]))
         self.order = np.argsort(rank, kind="stable")
 
     def common(self) -> np.ndarray:
         """For each suffix in order how many bytes, `length` at most, it shares with the one before."""
         at = self.starts[self.order]
-        shared = np.zeros(len(at), dtype=np.int64)
+        shared = np.zeros(len(at), dtype=np.int32)
         a, b, own = at[:-1], at[1:], shared[1:]
         for size in sorted(self.levels, reverse=True):
             more = np.arange(len(own))
@@ -105,7 +112,7 @@ def previous_smaller(values: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray
     Pointer jumping: a pointer to a larger value goes on to where that one's pointer leads,
     for all values at once.
     """
-    at = np.arange(len(values)) - 1
+    at = np.arange(-1, len(values) - 1, dtype=np.int32)
     least = shared.copy()
     open_ = np.flatnonzero((at >= 0) & (values[at] > values))
     while len(open_):
@@ -124,12 +131,13 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, length: int)
     after it in suffix order, whichever shares more.
     """
     suffixes = Suffixes(data, starts, length)
-    order, shared = suffixes.order, suffixes.common()
+    order, shared = suffixes.order.astype(np.int32), suffixes.common()
+    del suffixes  # its ranks are the largest part by far
     before, with_before = previous_smaller(order, shared)
     after, with_after = previous_smaller(order[::-1], np.concatenate(([0], shared[1:][::-1]))[: len(order)])
     after, with_after = len(order) - 1 - after[::-1], with_after[::-1]  # -1 becomes len(order)
     later = with_after > with_before
-    factor, source = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), -1, dtype=np.int64)
+    factor, source = np.zeros(len(starts), dtype=np.int32), np.full(len(starts), -1, dtype=np.int64)
     factor[order] = np.where(later, with_after, with_before)
     found = np.where(later, after, before)
     some = factor[order] > 0
