@@ -180,6 +180,18 @@ def hit_acts(bounds: DataFrame) -> DataFrame:
     return bounds.groupBy(*key).agg(F.min("line_no").alias("line_no"))
 
 
+def of_tiles(lines: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Lines of the given tiles, with what else the tiles have.
+
+    A few tiles, with the numbers of 64 lines at most, go to the scan; of more, a Bloom filter does.
+    """
+    place, n = ["file_name", "_tile"], tiles.count()
+    if n <= sizing.BROADCAST_ROWS:
+        return lines.join(F.broadcast(tiles), place)
+    key, blocks = F.xxhash64(*place), bloom.blocks_for(n)
+    return bloom.may_be_in(lines, key, bloom.bloom_filter(tiles, key, blocks), blocks).join(tiles, place)
+
+
 def act_texts(
     acts: DataFrame, lines: DataFrame, chars: int | None = None, carried: Sequence[str] = ()
 ) -> DataFrame:
@@ -187,15 +199,15 @@ def act_texts(
 
     Acts overlap: those without a next title share the end of their file. So the text is cut
     once where acts begin and end, each piece is put together once, and an act is a range of
-    pieces. Only the lines of tiles that an act touches leave the scan: a Bloom filter of
-    those tiles is probed there. ``chars`` limits each line to its first so many characters
+    pieces. Only the lines of tiles that an act touches leave the scan. ``chars`` limits each line to its first so many characters
     after white space. ``acts`` has one row per range; ``carried`` columns stay with it.
     """
-    spark = lines.sparkSession
     first, last = F.floor(F.col("start_line") / TEXT_TILE), F.floor((F.col("end_line") - 1) / TEXT_TILE)
     others = [F.when(F.col("_tile") == first, F.col(c)).alias(c) for c in carried]
     asked = acts.select("file_name", "start_line", "end_line", *carried, F.explode(F.sequence(first, last)).alias("_tile"))
-    asked = sizing.stage(asked.select("file_name", "start_line", "end_line", "_tile", *others), "asked")
+    asked = asked.select("file_name", "start_line", "end_line", "_tile", *others)
+    if carried:  # acts that come with more than their place took some work to find
+        asked = sizing.stage(asked, "asked")
 
     def cuts(edge: str) -> Column:
         return F.collect_set(F.when(F.floor(F.col(edge) / TEXT_TILE) == F.col("_tile"), F.col(edge)))
@@ -204,7 +216,6 @@ def act_texts(
         F.concat(cuts("start_line"), cuts("end_line"), F.array(F.col("_tile") * TEXT_TILE)).alias("_cuts")
     )
     touched = sizing.stage(touched, "touched")
-    key, blocks = F.xxhash64("file_name", "_tile"), bloom.blocks_for(touched.count())
     text = F.col("line")
     if chars is not None:
         margin = F.length("line") - F.length(F.ltrim("line", F.lit(fixed.WHITE_SPACE)))
@@ -213,8 +224,7 @@ def act_texts(
         "file_name", F.floor(F.col("line_no") / TEXT_TILE).alias("_tile"), "line_no", text.alias("_line")
     )
     pieces = (
-        bloom.may_be_in(numbered, key, bloom.bloom_filter(touched, key, blocks), blocks)
-        .join(touched, ["file_name", "_tile"])
+        of_tiles(numbered, touched)
         .withColumn("_piece", F.array_max(F.filter("_cuts", lambda c: c <= F.col("line_no"))))
         .groupBy("file_name", "_tile", "_piece")
         .agg(F.expr("listagg(_line, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("_part"))
