@@ -98,6 +98,26 @@ def test_the_index_finds_what_the_broadcast_finds(spark, monkeypatch):
     assert "secao" in plan and "_gram" in plan and "Cross" not in plan
 
 
+def test_the_index_folds_a_line_once_and_cuts_the_letters_of_needles(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
+    lines = [*LINES, "item 17 of 1", "17", "é1é17😀"]
+    rules = R.rules_frame(spark, [R.FilterRule(f"r{i}", "DO1", "", (*PLAIN, *PATTERNS, "1", "17", "é1", "of 1", "İ")) for i in range(2)])
+    for most in (needles.LETTERS, 1):  # a class of letters, and any letter
+        monkeypatch.setattr(needles, "LETTERS", most)
+        found = A.keyword_lines(lines_frame(spark, lines), rules)
+        got = [(r.file_name, r.filter_ord, r.keyword) for r in found.collect()]
+        assert len(got) == len(set(got))
+        expected = wanted([line.lower() for line in lines], [k for k in (*PLAIN, "1", "17", "é1", "of 1")])
+        assert {(f, k) for f, i, k in got if i == 0 and not k.startswith("re:") and k != "İ"} == expected
+        assert {(f, k) for f, i, k in got if i == 0} == {(f, k) for f, i, k in got if i == 1}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Contains(_loose" in plan
+    filed = spark.createDataFrame([("17", 2), ("é1", 2), ("of 1", 4)], "_filed string, _size int")
+    assert needles._letters(filed) == {2: ".", 4: "."}
+    monkeypatch.setattr(needles, "LETTERS", 9)
+    assert needles._letters(filed) == {2: r"[\x{31}\x{37}\x{e9}]", 4: r"[\x{20}\x{31}\x{66}\x{6f}]"}
+
+
 def test_blank_patterns_are_refused(spark):
     with pytest.raises(Exception, match="multi-line needle"):
         R.rules_frame(spark, [R.FilterRule("r", "DO1", "", ("re: ",))]).collect()
