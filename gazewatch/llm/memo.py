@@ -53,6 +53,10 @@ class Grown:
         self.n = end
 
 
+#: What keeps the first so many of eight bytes.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
 class PieceMemo:
     """Maps pieces (runs of bytes) to sequences of numbers, computing each piece once.
 
@@ -109,10 +113,10 @@ class PieceMemo:
         """The numbers of all pieces, one after the other, and each piece's share."""
         keys = Prefixes(data).runs(starts, ends) | np.uint64(1)
         padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-        head, lengths = np.zeros(len(starts), dtype=np.uint64), ends - starts
-        for i in range(8):
-            byte = padded[starts + i].astype(np.uint64) << np.uint64(8 * i)
-            head |= np.where(lengths > i, byte, np.uint64(0))
+        lengths = ends - starts
+        # The first eight bytes of each piece as one number, zeros after a shorter piece.
+        eights = np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,))
+        head = eights[starts].astype(np.uint64) & _HEADS[np.minimum(lengths, 8)]
         checks = mixed(head ^ (lengths.astype(np.uint64) << np.uint64(40)))
         found = self._find(keys)
         if (found < 0).any():

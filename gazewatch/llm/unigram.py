@@ -19,6 +19,8 @@ BATCH_BYTES = 500_000
 MARK = "▁"
 #: How much worse than the rarest piece a character given as bytes is.
 FALLBACK_PENALTY = 10.0
+#: Longer units are followed one by one, so that a table of places stays small.
+MOST_ABREAST, ABREAST_BYTES = 64, 1 << 20
 
 
 class DoubleArray:
@@ -86,6 +88,88 @@ class Pieces:
             self.bytes[i] = bytes([byte])
         self.fallback = min(s for _, s in pieces.values()) - FALLBACK_PENALTY
         self.longest = max(4, *map(len, self.bytes))
+        self.tables = (
+            np.array(self.trie.base, dtype=np.int32),
+            # A slot past the end is no child of any node.
+            np.array(self.trie.check + [-1] * 258, dtype=np.int32),
+            np.array(self.trie.value, dtype=np.int32),
+            np.array(self.scores),
+        )
+
+    def best_of(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of `best` for every key, one after the other, and how many each has.
+
+        Keys of one length go abreast: at each place the trie is walked for all of them.
+        """
+        lengths = np.array([len(k) for k in keys], dtype=np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # keys, and the ids of each, last one first
+        order = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+        for own in np.split(order, edges[1:]):
+            n = int(lengths[own[0]])
+            if n > MOST_ABREAST:
+                for k in own.tolist():
+                    ids = np.frombuffer(self.best(keys[k]), dtype=np.uint32)[::-1]
+                    found.append((np.full(len(ids), k), ids))
+                continue
+            for i in range(0, len(own), ABREAST_BYTES // n):
+                part = own[i : i + ABREAST_BYTES // n]
+                block = np.frombuffer(b"".join([keys[k] for k in part.tolist()]), dtype=np.uint8)
+                found += [(part[at], ids) for at, ids in self._abreast(block.reshape(len(part), n))]
+        owner = np.concatenate([k for k, _ in found])
+        ids = np.concatenate([i for _, i in found])
+        # Ids came from the last to the first: by key, then backwards.
+        ids = ids[::-1][np.argsort(owner[::-1], kind="stable")].astype(np.uint32)
+        return ids, np.bincount(owner, minlength=len(keys))
+
+    def _abreast(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Steps back along the best paths of rows of equal length: rows, and an id of each."""
+        base, check, value, scores = self.tables
+        count, n = keys.shape
+        columns = np.ascontiguousarray(keys.T).astype(np.int32) + 1
+        total = np.full((n + 1, count), -np.inf)
+        back, by = np.zeros((n + 1, count), dtype=np.int32), np.zeros((n + 1, count), dtype=np.int32)
+        total[0] = 0.0
+        lead = keys.T
+        widths = 1 + (lead >= 0xC0).astype(np.int32) + (lead >= 0xE0) + (lead >= 0xF0)
+        starts = (lead & 0xC0) != 0x80
+        for at in range(n):
+            rows = np.flatnonzero(starts[at])
+            if not len(rows):
+                continue
+            here, width, single = total[at], widths[at], np.zeros(count, dtype=bool)
+            begun, node = rows, np.zeros(len(rows), dtype=np.int32)
+            for end in range(at + 1, n + 1):
+                child = base[node] + columns[end - 1][rows]
+                on = check[child] == node
+                rows, node = rows[on], child[on]
+                if not len(rows):
+                    break
+                piece = value[node]
+                held = piece >= 0
+                ends, piece = rows[held], piece[held]
+                single[ends] |= width[ends] == end - at
+                score = here[ends] + scores[piece]
+                better = score > total[end][ends]
+                ends = ends[better]
+                total[end][ends], back[end][ends], by[end][ends] = score[better], end - at, piece[better]
+            alone = begun[~single[begun]]
+            after = at + width[alone]
+            score = here[alone] + self.fallback
+            better = score > total[after, alone]
+            alone, after = alone[better], after[better]
+            total[after, alone], back[after, alone], by[after, alone] = score[better], width[alone], -1
+        every, end, bytes_of = np.arange(count), np.full(count, n), np.array(self.byte_ids, dtype=np.int64)
+        while len(every):
+            step, piece = back[end, every], by[end, every]
+            whole = piece >= 0
+            yield every[whole], piece[whole]
+            odd, last, width = every[~whole], end[~whole], step[~whole]
+            for i in range(4):
+                more = width > i
+                yield odd[more], bytes_of[keys[odd[more], last[more] - 1 - i]]
+            end = end - step
+            every, end = every[end > 0], end[end > 0]
 
     def best(self, key: bytes) -> array:
         """The ids of the path with the highest sum of scores.
@@ -162,9 +246,7 @@ class Encoder:
         self.memo = PieceMemo(self._encode)
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [self.pieces.best(u) for u in units]
-        whole = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in ids])
-        return whole, np.array([len(x) for x in ids], dtype=np.int64)
+        return self.pieces.best_of(units)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         filled = [i for i, t in enumerate(texts) if t]

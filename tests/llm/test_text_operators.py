@@ -88,6 +88,32 @@ def test_best_path_is_the_best_of_all_paths():
         assert score + own.fallback * len(chars) == pytest.approx(best(text))
 
 
+def test_paths_abreast_are_the_best_paths(monkeypatch):
+    draw = random.Random(8)
+    pieces = {"".join(p): None for n in (1, 2, 3) for p in [draw.choices("abcé▁", k=n) for _ in range(12)]}
+    # Few different scores, so that many paths are equal.
+    scored = {p: (256 + i, -float(draw.randint(1, 3))) for i, p in enumerate(pieces)}
+    own = unigram.Pieces(scored, list(range(256)), 256 + len(scored))
+    texts = ["".join(draw.choices("abcd éß日😀\n\x00", k=draw.randint(1, 9))) for _ in range(400)]
+    texts += ["a" * 300, "ab é" * 40, texts[0], "日" * 21 + "x"]
+    keys = [t.encode() for t in texts]
+    for size in (unigram.ABREAST_BYTES, 64):
+        monkeypatch.setattr(unigram, "ABREAST_BYTES", size)
+        ids, sizes = own.best_of(keys)
+        found = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert found == [own.best(k).tolist() for k in keys]
+
+
+def test_heads_of_pieces_are_their_first_bytes():
+    """Pieces of equal hash are told apart by their first eight bytes and their length."""
+    texts = [b"abcdefgh", b"abcdefghi", b"a", b"ab", b"a\x00", b"xbcdefgh"]
+    data, limits = memo.laid_out(texts)
+    own = memo.PieceMemo(lambda ps: (np.array([len(p) for p in ps]), np.ones(len(ps), dtype=np.int64)))
+    own.take(data, limits[:-1], limits[1:])
+    heads = {(len(t) << 40) ^ int.from_bytes(t[:8].ljust(8, b"\0"), "little") for t in texts}
+    assert set(own.checks[: len(own.checks)].tolist()) == set(memo.mixed(np.array(sorted(heads), dtype=np.uint64)).tolist())
+
+
 def test_double_array_finds_all_prefixes():
     keys = {k: i for i, k in enumerate([b"a", b"ab", b"abc", b"b", "é".encode(), b"\xff", b"\x00\x01"])}
     trie = unigram.DoubleArray(keys)
