@@ -36,7 +36,7 @@ K1, B = 1.2, 0.75
 
 
 _SIGNS, _LETTERS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
-_SIGNS[list(b".,;:!?()")] = True
+_SIGNS[list(b".,;:!?()\"#$%&*+-/=@[\\]^_`{}~")] = True
 _LETTERS[[c for c in range(128) if chr(c).isalnum()]] = True
 
 
@@ -62,6 +62,14 @@ class ByteEncoder:
         self.memo = PieceMemo(self._encode)
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library gets pieces in order, as those that begin alike share their merges."""
+        order = np.array(sorted(range(len(pieces)), key=pieces.__getitem__))
+        ids, sizes = self._encode_ordered([pieces[i] for i in order.tolist()])
+        begins, place = np.cumsum(sizes) - sizes, np.argsort(order)
+        begins, sizes = begins[place], sizes[place]
+        return ids[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(len(ids))], sizes
+
+    def _encode_ordered(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Many pieces go to the library as one text with its special string between them,
         which it never joins with anything, or one by one where a piece has that string itself."""
         texts = [p.decode() for p in pieces]

@@ -114,6 +114,16 @@ def test_heads_of_pieces_are_their_first_bytes():
     assert set(own.checks[: len(own.checks)].tolist()) == set(memo.mixed(np.array(sorted(heads), dtype=np.uint64)).tolist())
 
 
+def test_words_are_cut_before_their_signs():
+    texts = ["ab$$$ ab&&& cd### cd*** ab's $ab a-b_c d/e x=1 [a] {b} ~c 9% 9$ \"q\" it'll-'s <|endoftext|>$a a<b|c>", "ab$", "é$$ é# ñ-'t"]
+    seen = []
+    work = packing.ByteEncoder(vocabulary("byte_bpe_50k.json"))
+    work.memo.compute = lambda ps, f=work.memo.compute: seen.extend(ps) or f(ps)
+    want = [e.ids for e in library_of("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in work.encode([t.encode() for t in texts])] == want
+    assert {b"$$$", b"&&&", b"###", b"***"} <= set(seen) and b" ab$$$" not in seen
+
+
 def test_double_array_finds_all_prefixes():
     keys = {k: i for i, k in enumerate([b"a", b"ab", b"abc", b"b", "é".encode(), b"\xff", b"\x00\x01"])}
     trie = unigram.DoubleArray(keys)
