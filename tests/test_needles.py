@@ -118,6 +118,52 @@ def test_the_index_folds_a_line_once_and_cuts_the_letters_of_needles(spark, monk
     assert needles._letters(filed) == {2: r"[\x{31}\x{37}\x{e9}]", 4: r"[\x{20}\x{31}\x{66}\x{6f}]"}
 
 
+def exchanged(plan):
+    """Names of the columns that go through each exchange of a physical plan."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [{plan.output().apply(i).name() for i in range(plan.output().size())}] if plan.nodeName() == "Exchange" else []
+    return own + [e for c in children for e in exchanged(c)]
+
+
+def test_lines_meet_the_index_without_their_text(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
+    rules = R.rules_frame(spark, [R.FilterRule(f"r{i}", "DO1", "", ("a", "ab", "portaria nº", "STRASSE", "not there")) for i in range(2)])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = A.keyword_lines(lines_frame(spark, LINES), rules).select("file_name", "line_no", "filter_ord", "keyword")
+        sent = exchanged(found._jdf.queryExecution().executedPlan())
+        assert sum("line_no" in columns for columns in sent) == 1
+        assert not any(columns & {"line", "_folded", "_loose", "_padded", "_window"} for columns in sent)
+        plain = ("a", "ab", "portaria nº", "STRASSE")
+        assert {(r.file_name, r.keyword) for r in found.collect()} == wanted(LINES, plain)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("edge, filters", [(1, True), (2, False), (8, False)])
+def test_stretches_tell_needles_apart(spark, monkeypatch, edge, filters):
+    """Also where filters let everything pass, all pieces share one list, and needles outgrow their stretches."""
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(needles, "EDGE", edge)
+    if not filters:
+        monkeypatch.setattr(needles, "BUCKETS", 1)
+        monkeypatch.setattr(bloom, "may_be_in", lambda rows, *_: rows)
+    draw = random.Random(edge)
+    lines = ["".join(draw.choice("ab?😀") for _ in range(draw.randint(0, 40))) for _ in range(60)]
+    lines += [lines[0], "ab" * 30, "b" + "ab" * 9, "a" * 25, "😀" * 9 + "?" * 9, "abab\nabab", "xabababab"]
+    words = {"".join(draw.choice("ab?😀") for _ in range(draw.randint(1, 6))) for _ in range(60)}
+    words |= {"ab" * n for n in range(1, 14)} | {"a" * n for n in range(1, 14)} | {"babab", "?😀😀😀😀", "😀????", "xabab", "re:abab", "re:[ab]b?aba?"}
+    rules = R.rules_frame(spark, [R.FilterRule("r", "DO1", "", tuple(sorted(words)))])
+    frame = lines_frame(spark, lines)
+    found = A.keyword_lines(frame.unionByName(frame), rules).select("file_name", "keyword").collect()
+    got = sorted((r.file_name, r.keyword) for r in found)
+    assert got == sorted([*wanted(lines, words)] * 2)
+
+
 def test_blank_patterns_are_refused(spark):
     with pytest.raises(Exception, match="multi-line needle"):
         R.rules_frame(spark, [R.FilterRule("r", "DO1", "", ("re: ",))]).collect()
